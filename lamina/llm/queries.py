@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import bpe, chat, orcids, packing, quality, ring, secrets
+from lamina.llm import bpe, chat, jaccard, orcids, packing, passages, quality, ring, secrets, topk
 from lamina.llm.common import documents, written
 
 
@@ -15,10 +15,18 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(documents(spark, sf_dir))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), end_id=1)
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 5, 50)
+
+
 def op4_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orcids.round_trip(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), end_id=2)
 
@@ -28,6 +36,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(documents(spark, sf_dir))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
