@@ -38,7 +38,7 @@ def byte_letters() -> dict[str, int]:
 class BytePairCodec:
     """limit: so many chunks (a word with the white space before it and marks after it) and so many words, of up to 64 characters each, are remembered."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()

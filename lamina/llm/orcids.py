@@ -36,8 +36,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, partition
     def encode(batches):
         part, before, encode_all, end = TaskContext.get().partitionId(), 0, encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                batch = whole.slice(k, 1000)
+            for k in range(0, whole.num_rows, 500):
+                batch = whole.slice(k, 500)
                 ids = [np.frombuffer(x + end, "<i4") for x in encode_all(texts_of(batch))]
                 n = np.array([len(x) for x in ids], np.int64)
                 starts = before + np.cumsum(n) - n

@@ -30,12 +30,14 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def encode(batches):
         part, before, encode_all, end = TaskContext.get().partitionId(), 0, encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            ids = [x + end for x in encode_all(texts_of(batch))]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
-            starts = before + np.cumsum(n) - n
-            before += int(n.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(starts), batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(ids, pa.binary())], ["part", "before", "doc_id", "n", "ids"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 500):
+                batch = whole.slice(k, 500)
+                ids = [x + end for x in encode_all(texts_of(batch))]
+                n = np.array([len(x) // 4 for x in ids], np.int64)
+                starts = before + np.cumsum(n) - n
+                before += int(n.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(starts), batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(ids, pa.binary())], ["part", "before", "doc_id", "n", "ids"])
 
     return own_columns(docs, "doc_id", "text").mapInArrow(encode, "part int, before long, doc_id long, n long, ids binary")
 

@@ -9,15 +9,15 @@ tokenizer drops white space and its normalizer never joins characters across it,
 from __future__ import annotations
 
 import os
-import re
 from array import array
 from functools import cache
 
+from lamina.llm.bpe import byte_letters
 from lamina.llm.common import Recent
 
 
-#: Letters that lower-case one by one alike in every library, then ASCII marks, which stand apart from letters before them.
-STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: ASCII marks, which make up one token run after letters; the apostrophe may begin a contraction.
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
 
 class PieceEncoder:
@@ -27,14 +27,15 @@ class PieceEncoder:
     pieces start with: "Word," is put together from "word" and ",".
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.pieces, self.parts = Recent(limit), Recent(limit)
+        self.pieces, self.parts, self.tails = Recent(limit), Recent(limit), {}
+        self.letters = {b: c for c, b in byte_letters().items()}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " ").split(" ") for t in texts]
@@ -49,17 +50,33 @@ class PieceEncoder:
         return out
 
     def _learn(self, missing: set[str]) -> None:
-        """Encode what no cache has in one call of the library."""
-        cut = {piece: (found[1].lower(), found[2]) if (found := STEM.fullmatch(piece)) else (piece, "") for piece in missing}
-        new = list(self.parts.recall({p for both in cut.values() for p in both}))
-        parts = self.parts.now
-        for part, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            parts[part] = array("I", e.ids).tobytes()
-        for piece, (stem, rest) in cut.items():
-            self.pieces.now[piece] = parts[stem] + parts[rest]
-        for part in new:
-            if len(part) > 64:
-                del parts[part]
+        """Encode what no cache has. Words of Latin letters go straight to the library's model, as its earlier steps only lower-case them."""
+        pieces, now, earlier, tails, others = self.pieces.now, self.parts.now, self.parts.earlier, self.tails, []
+        for piece in missing:
+            stem = piece.rstrip(MARKS)
+            if stem and stem.isalpha() and (stem.isascii() or max(stem) <= "ÿ"):
+                low = stem.lower()
+                if (ids := now.get(low)) is None:
+                    ids = earlier.get(low) or self._word(low)
+                    if len(low) <= 64:
+                        now[low] = ids
+                if tail := piece[len(stem) :]:
+                    if (more := tails.get(tail)) is None:
+                        more = array("I", self.tokenizer.encode(tail, add_special_tokens=False).ids).tobytes()
+                        if len(tail) <= 8:
+                            tails[tail] = more
+                    ids += more
+                pieces[piece] = ids
+            else:
+                others.append(piece)
+        for piece, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            pieces[piece] = array("I", e.ids).tobytes()
+        if len(tails) > 50_000:
+            tails.clear()
+
+    def _word(self, low: str) -> bytes:
+        letters = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
 
 
 @cache
