@@ -42,4 +42,31 @@ def huffman_total_bits(spark, d):
     return hist.select("doc_id", arrow.huffman_total()("counts").alias("bits"))
 
 
+def _packed(spark, d):
+    from lamina import workflow
+    from lamina.specs import DirectorySpec
+    from lamina.storage import shared_folder
+
+    rel = F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = docs(spark, d, "source").select(rel.alias("rel"), F.encode("text", "UTF-8").alias("content"))
+    out = shared_folder(spark)
+    return out, workflow.pack(spark, files, out, DirectorySpec(buckets=8)), workflow
+
+
+def archive_roundtrip(spark, d):
+    """Documents packed by bucket and plan into archives, and unpacked from them."""
+    out, _, workflow = _packed(spark, d)
+    return workflow.unpack(spark, out).select("rel", F.sha2("content", 256).alias("sha"), (F.sha2("content", 256) == F.col("in_sha256")).alias("restored"))
+
+
+def archive_verify(spark, d):
+    """The manifest's files, with what the full check finds wrong with each: nothing."""
+    out, manifest, workflow = _packed(spark, d)
+    found = workflow.verify(spark, out, full=True)
+    return manifest.join(found, "rel", "left").select("rel", F.col("in_size"), F.coalesce("violation", F.lit("")).alias("violation"))
+
+
+SQL["archive_roundtrip"] = "SELECT source || '/' || doc_id || '.txt' AS rel, sha256(encode(text)) AS sha, true AS restored FROM documents"
+SQL["archive_verify"] = "SELECT source || '/' || doc_id || '.txt' AS rel, octet_length(encode(text))::BIGINT AS in_size, '' AS violation FROM documents"
+QUERIES |= {"archive_roundtrip": archive_roundtrip, "archive_verify": archive_verify}
 QUERIES |= {"simhash64_blake2b": simhash64_blake2b, "huffman_total_bits": huffman_total_bits}
