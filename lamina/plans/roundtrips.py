@@ -29,6 +29,31 @@ for _layer, _codec in PAIRS:
     SQL[f"rt_{_layer}_{_codec}"] = "SELECT doc_id, sha256(encode(text)) AS sha, true AS restored, true AS framed FROM documents"
 
 
+def _older(write):
+    from lamina.kernels import legacy
+
+    def run(spark, d):
+        content = docs(spark, d).select("doc_id", F.encode("text", "UTF-8").alias("content"))
+        coded = content.select("doc_id", F.sha2("content", 256).alias("sha"), arrow.column(write)("content").alias("blob"))
+        return coded.select("doc_id", "sha", (F.sha2(arrow.column(legacy.read)("blob"), 256) == F.col("sha")).alias("restored"))
+
+    return run
+
+
+def _old_queries() -> dict:
+    from functools import partial
+
+    from lamina.kernels import legacy
+
+    writers = {f"rt_version{v}": partial(legacy.write, v) for v in (1, 2, 3, 4)}
+    return writers | {f"rt_version5_{layer}_{codec}": partial(legacy.write_5, layer=layer, codec=codec) for layer, codec in (("bytes", "huffman"), ("vc0", "huffman"), ("words_it", "huffman"), ("syllables_it", "zstd"), ("lines_dict", "zstd_tight"))}
+
+
+for _name, _write in _old_queries().items():
+    QUERIES[_name] = _older(_write)
+    SQL[_name] = "SELECT doc_id, sha256(encode(text)) AS sha, true AS restored FROM documents"
+
+
 def simhash64_blake2b(spark, d):
     """Each distinct token is hashed once."""
     f = analyze.features(docs(spark, d), "doc_id", "text")

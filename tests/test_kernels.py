@@ -7,6 +7,7 @@ import pytest
 from lamina.errors import CorruptPayload, UnsupportedVersion, UsageError
 from lamina.kernels import codecs as K
 from lamina.kernels import containers as B
+from lamina.kernels import legacy as L
 
 INVOICE = "".join(f"RIGA {k}: vite M3 qty={k} prezzo=1.{k % 90:02d} -5 (+07) 2024-01-02\r\n" for k in range(60)).encode()
 TEXTS = [b"", b"abc", b"\n\n", b"a\rb\r\nc", b"-1 2024-01-02 x=+07 (-3) 10-12 a-5\n-9", bytes(range(256)) * 3, "è già l'ora — 100%".encode(), b"9" * 50 + b" 007", b"same\nsame\nsame\nother\nsame", INVOICE]
@@ -72,3 +73,34 @@ def test_corrupt():
     assert B.extracted(B.extract(b"a 1 2-3 x10-12")) == [1, 2, -3, 10, -12]
     assert K.unvocabulary(bytes.fromhex("00000001" "00000002" "6162")) == [b"ab"]
     assert K.untemplate_resource(K.template_resource([[b"a", b""]])[0]) == [[b"a", b""]]
+
+
+@pytest.mark.parametrize("version", [1, 2, 3, 4])
+def test_older_versions(version):
+    for data in TEXTS:
+        if version < 3 or max((len(x) for x in data.split(b" ")), default=0) < 1 << 16:
+            assert L.read(L.write(version, data)) == data
+    assert L.write(1, b"").hex() == "47434301" + "00" * 11
+
+
+@pytest.mark.parametrize("layer", ["bytes", "vc0", "syllables_it", "words_it", "lines_dict"])
+@pytest.mark.parametrize("codec", ["huffman", "zstd", "zstd_tight"])
+def test_version_5(layer, codec):
+    for data in TEXTS:
+        blob = L.write_5(data, layer, codec)
+        assert L.read(blob) == data
+        framed = B.frame(blob[4 + 1 + len(layer) + 1 + len(codec) + 4 + 2 + 4 :], layer, codec)
+        assert L.read(framed) == data
+    parts = [L.Part("main", 3, [0, 1, 2, 1]), L.Part("__meta__", 256, b"abc")]
+    assert L.un_zstd_bundle(L.zstd_frames(parts)) == parts == L.un_zstd_bundle(L.zstd_bundle(parts)) == L.un_huffman_bundle(L.huffman_bundle(parts))
+    assert L.unpack_meta(L.pack_meta({"a": (b"x", [1, None])})) == {"a": (b"x", [1, None])}
+
+
+def test_universal_reader_and_choice():
+    assert L.read(B.encode(INVOICE, "tpl_lines_v0", "zlib")) == INVOICE
+    layer, codec, blob = L.smallest(INVOICE, ("bytes", "split_text_nums", "tpl_lines_v0"), ("raw", "zlib"))
+    assert L.read(blob) == INVOICE and codec == "zlib" and len(blob) <= len(B.encode(INVOICE, "bytes", "zlib"))
+    with pytest.raises(UnsupportedVersion):
+        L.read(b"GCC\x09")
+    with pytest.raises(CorruptPayload):
+        L.read(L.write(4, INVOICE)[:-2])
