@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lamina.llm.common import Recent, own_columns, texts_of
+from lamina.llm.common import Memo, own_columns, texts_of
 
 #: The white space of Unicode, and the pattern of byte-level BPE's words with it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -57,7 +57,7 @@ class BytePairCodec:
         self.word = regex.compile(WORD)
         self.odd_space = re.compile(r"[^\S \n]")  # white space other than space and newline
         self.chunk = re.compile(r"[ \n]*[^ \n]+|[ \n]+")  # a token never goes on from other characters into white space
-        self.known, self.words = Recent(limit), Recent(limit)
+        self.known, self.words = Memo(self._chunk, limit), Memo(self._word, limit)
 
     def merge(self, word: bytes) -> list[int]:
         symbol = [self.single[b] for b in word]
@@ -83,27 +83,15 @@ class BytePairCodec:
         return [s for s in symbol if s >= 0]
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self._word, self.word.findall(chunk)))
+        return b"".join(map(self.words.__getitem__, self.word.findall(chunk)))
 
     def _word(self, word: str) -> bytes:
-        if (found := self.words.now.get(word) or self.words.earlier.get(word)) is None:
-            found = np.array(self.merge(word.encode()), "<u4").tobytes()
-            if len(word) <= 64:
-                self.words.now[word] = found
-        return found
+        return np.array(self.merge(word.encode()), "<u4").tobytes()
 
     def _plain(self, text: str) -> bytes:
-        chunks = (self.word if self.odd_space.search(text) else self.chunk).findall(text)
         self.known.renew()
         self.words.renew()
-        missing, known = self.known.recall(set(chunks)), self.known.now
-        for c in missing:
-            known[c] = self._chunk(c)
-        out = b"".join(map(known.__getitem__, chunks))
-        for c in missing:
-            if len(c) > 64:
-                del known[c]
-        return out
+        return b"".join(map(self.known.__getitem__, (self.word if self.odd_space.search(text) else self.chunk).findall(text)))
 
     def encode(self, text: str) -> np.ndarray:
         if self.at_special is None or not self.at_special.search(text):

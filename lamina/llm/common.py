@@ -6,9 +6,7 @@ space, tab, newline, vertical tab, form feed and carriage return.
 
 from __future__ import annotations
 
-import itertools
-import tempfile
-import uuid
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,33 +14,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_U64 = np.uint64
-_FALLBACK: list[tempfile.TemporaryDirectory] = []
-
+from lamina.storage import shared_folder, written  # noqa: F401
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir.
-
-    Where the setting is missing, a local master gets a temporary folder; a cluster gets an
-    error, as its machines don't see each other's local disks.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if not _FALLBACK:
-            _FALLBACK.append(tempfile.TemporaryDirectory(prefix="lamina-"))
-        root = f"file://{_FALLBACK[0].name}"
-    return f"{root.rstrip('/')}/lamina-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, *, partition_by: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder; lineage ends there, so a lost executor costs no more than its running tasks."""
-    spark = df.sparkSession
-    path = shared_folder(spark)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+_U64 = np.uint64
 
 
 def drop_written(spark: SparkSession, df: DataFrame) -> None:
@@ -67,44 +41,45 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-class Recent:
-    """What was used lately, in ``now``; recall() refills it from what the generation before held.
+class Memo(dict):
+    """make(key) for each key, remembered for keys of at most 64 characters or bytes that were used lately.
 
-    When it has over ``limit`` entries it becomes the earlier generation, so at most twice as many are kept.
+    renew() starts a new generation where this one has over ``limit`` keys; what the one before holds
+    is taken over when it is asked for. So at most about twice as many are kept.
     """
 
-    def __init__(self, limit: int):
-        self.limit, self.now, self.earlier = limit, {}, {}
+    def __init__(self, make, limit: int):
+        self.make, self.limit, self.earlier = make, limit, {}
 
-    def renew(self) -> None:
-        if len(self.now) > self.limit:
-            self.now, self.earlier = {}, self.now
+    def __missing__(self, key):
+        value = self.earlier.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 64:
+            self[key] = value
+        return value
 
-    def recall(self, wanted: set) -> set:
-        """What of ``wanted`` no generation has."""
-        missing = wanted.difference(self.now)  # quick for plain dicts only
-        back = [k for k in missing if k in self.earlier]
-        for k in back:
-            self.now[k] = self.earlier[k]
-        return missing.difference(back)
+    def renew(self) -> None:
+        if len(self) > self.limit:
+            self.earlier = dict(self)
+            self.clear()
 
 
 class WordHashes:
-    """64-bit hashes of words, remembered for words of at most 64 bytes that were seen lately."""
+    """64-bit hashes of words."""
 
     def __init__(self, limit: int = 300_000):
-        self.recent = Recent(limit)
+        self.known = Memo(xxhash.xxh3_64_intdigest, limit)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        self.recent.renew()
-        missing, known = self.recent.recall(set(words)), self.recent.now
-        for w in missing:
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        out = np.fromiter(map(known.__getitem__, words), _U64, len(words))
-        for w in missing:
-            if len(w) > 64:
-                del known[w]
-        return out
+        self.known.renew()
+        return np.fromiter(map(self.known.__getitem__, words), _U64, len(words))
+
+
+@cache
+def word_hashes() -> WordHashes:
+    """One a Python worker, which keeps what it remembers from task to task."""
+    return WordHashes()
 
 
 def words_of(text: str) -> list[bytes]:
@@ -143,9 +118,3 @@ def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     np.cumsum([len(p) for p in parts], out=offsets[1:])
     values = np.concatenate(parts) if parts else np.zeros(0)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
-
-
-def chunks(items, size: int):
-    it = iter(items)
-    while block := list(itertools.islice(it, size)):
-        yield block

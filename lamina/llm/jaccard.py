@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import WordHashes, mixed, own_columns, shingles, texts_of, words_of, written
+from lamina.llm.common import WordHashes, mixed, own_columns, shingles, texts_of, word_hashes, words_of, written
 from lamina.llm.components import components
 
 NGRAM, THRESHOLD, ROWS, RECALL = 5, Fraction(4, 5), 10, 0.999
@@ -71,7 +71,7 @@ def signatures(docs: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
     """doc_id, node (null: no words), n (n-grams), bands."""
 
     def run(batches):
-        hashes, sign = WordHashes(), Signer(bands, rows)
+        hashes, sign = word_hashes(), Signer(bands, rows)
         for whole in batches:
             for k in range(0, whole.num_rows, 2000):
                 batch = whole.slice(k, 2000)
@@ -147,7 +147,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     y = texts.select(F.col("node").alias("y"), F.col("text").alias("ty"))
 
     def run(batches):
-        hashes = WordHashes()
+        hashes = word_hashes()
         for batch in batches:
             keep = []
             for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "tx", "ty"))):
@@ -171,7 +171,7 @@ def _compared(families: DataFrame, texts: DataFrame) -> DataFrame:
     placed = placed.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes = WordHashes()
+        hashes = word_hashes()
         sets, keep, seen = [], [], set()
         for k, (node, text) in enumerate(zip(pdf["node"], pdf["text"])):
             s = gram_set(text or "", hashes)

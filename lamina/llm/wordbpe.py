@@ -13,7 +13,7 @@ from array import array
 from functools import cache
 
 from lamina.llm.bpe import byte_letters
-from lamina.llm.common import Recent
+from lamina.llm.common import Memo
 
 
 #: ASCII marks, which make up one token run after letters; the apostrophe may begin a contraction.
@@ -34,45 +34,25 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.pieces, self.parts, self.tails = Recent(limit), Recent(limit), {}
         self.letters = {b: c for c, b in byte_letters().items()}
+        self.pieces, self.stems, self.tails = Memo(self._piece, limit), Memo(self._word, limit), Memo(self._any, 50_000)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        self.pieces.renew()
-        self.parts.renew()
-        missing = self.pieces.recall(set().union(*cut))
-        self._learn(missing)
-        out = [b"".join(map(self.pieces.now.__getitem__, c)) for c in cut]
-        for piece in missing:
-            if len(piece) > 64:
-                del self.pieces.now[piece]
-        return out
-
-    def _learn(self, missing: set[str]) -> None:
-        """Encode what no cache has. Words of Latin letters go straight to the library's model, as its earlier steps only lower-case them."""
-        pieces, now, earlier, tails, others = self.pieces.now, self.parts.now, self.parts.earlier, self.tails, []
-        for piece in missing:
-            stem = piece.rstrip(MARKS)
-            if stem and stem.isalpha() and (stem.isascii() or max(stem) <= "ÿ"):
-                low = stem.lower()
-                if (ids := now.get(low)) is None:
-                    ids = earlier.get(low) or self._word(low)
-                    if len(low) <= 64:
-                        now[low] = ids
-                if tail := piece[len(stem) :]:
-                    if (more := tails.get(tail)) is None:
-                        more = array("I", self.tokenizer.encode(tail, add_special_tokens=False).ids).tobytes()
-                        if len(tail) <= 8:
-                            tails[tail] = more
-                    ids += more
-                pieces[piece] = ids
-            else:
-                others.append(piece)
-        for piece, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            pieces[piece] = array("I", e.ids).tobytes()
-        if len(tails) > 50_000:
-            tails.clear()
+        for memo in (self.pieces, self.stems, self.tails):
+            memo.renew()
+        get = self.pieces.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
+
+    def _piece(self, piece: str) -> bytes:
+        """Words of Latin letters go straight to the library's model, as its earlier steps only lower-case them."""
+        stem = piece.rstrip(MARKS)
+        if stem and stem.isalpha() and (stem.isascii() or max(stem) <= "ÿ"):
+            ids = self.stems[stem.lower()]
+            return ids if len(stem) == len(piece) else ids + self.tails[piece[len(stem) :]]
+        return self._any(piece)
+
+    def _any(self, piece: str) -> bytes:
+        return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
     def _word(self, low: str) -> bytes:
         letters = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
