@@ -31,3 +31,29 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """An operator's intermediate tables. keep() writes its result and deletes them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.n = spark, shared_folder(spark), 0
+
+    def folder(self) -> str:
+        self.n += 1
+        return f"{self.root}/{self.n}"
+
+    def written(self, df: DataFrame) -> DataFrame:
+        path = self.folder()
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        out = written(df)
+        delete(self.spark, self.root)
+        return out
