@@ -14,19 +14,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.storage import shared_folder, written  # noqa: F401
+from lamina.storage import Scratch, shared_folder, written  # noqa: F401
 
 _U64 = np.uint64
 
 
-def drop_written(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a table that written() made, once nothing reads it any more."""
-    for file in df.inputFiles()[:1]:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df

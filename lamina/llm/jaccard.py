@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import WordHashes, mixed, own_columns, shingles, texts_of, word_hashes, words_of, written
+from lamina.llm.common import Scratch, WordHashes, mixed, own_columns, shingles, texts_of, word_hashes, words_of
 from lamina.llm.components import components
 
 NGRAM, THRESHOLD, ROWS, RECALL = 5, Fraction(4, 5), 10, 0.999
@@ -158,9 +158,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(x, "x").join(y, "y").select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long").distinct()
 
 
-def _families(members: DataFrame, nodes: DataFrame) -> DataFrame:
+def _families(members: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """node, copies, least, family, blocks, block (its number within the family)."""
-    family = components(members.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    family = components(members.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), scratch)
     size = family.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     return family.join(size, "component").join(nodes, "node").select("node", "copies", "least", F.col("component").alias("family"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
 
@@ -197,38 +197,39 @@ def _compared(families: DataFrame, texts: DataFrame) -> DataFrame:
 
 def joined(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, n_links for every document."""
-    rows = written(signatures(docs, bands_for()))
-    all_nodes = written(rows.filter("node is not null and doc_id is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.written(signatures(docs, bands_for()))
+    all_nodes = scratch.written(rows.filter("node is not null and doc_id is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     nodes = all_nodes.select("node", "copies", "least")
     exploded = all_nodes.select("node", "n", F.explode("bands").alias("band"))
     buckets = exploded.groupBy("band").agg(F.count("*").alias("m"), F.min("node").alias("hub")).filter("m > 1")
-    members = written(exploded.join(buckets, "band"))
-    pairs = written(_pairs(members.filter(F.col("m") <= SMALL)))
+    members = scratch.written(exploded.join(buckets, "band"))
+    pairs = scratch.written(_pairs(members.filter(F.col("m") <= SMALL)))
     large = members.filter(F.col("m") > SMALL)
     wanted = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node")))
     if large.isEmpty():
         families = None
     else:
-        families = written(_families(large, nodes))
+        families = scratch.written(_families(large, nodes, scratch))
         of = families.select("node", "family")
         same = pairs.join(of.withColumnsRenamed({"node": "x", "family": "fx"}), "x").join(of.withColumnsRenamed({"node": "y", "family": "fy"}), "y").filter("fx = fy")
-        pairs = written(pairs.join(same.select("x", "y"), ["x", "y"], "left_anti"))
+        pairs = scratch.written(pairs.join(same.select("x", "y"), ["x", "y"], "left_anti"))
         wanted = wanted.unionByName(families.select("node"))
-    texts = written(_texts(docs, nodes.join(wanted.distinct(), "node", "left_semi")))
-    links = written(_verified(pairs, texts))
+    texts = scratch.written(_texts(docs, nodes.join(wanted.distinct(), "node", "left_semi")))
+    links = scratch.written(_verified(pairs, texts))
     edges = links.select(F.col("x").alias("a"), F.col("y").alias("b"))
     ways = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
     counts = ways.join(nodes.select(F.col("node").alias("y"), "copies"), "y").groupBy(F.col("x").alias("node")).agg(F.sum("copies").alias("links"))
     if families is not None:
-        blocks = written(_compared(families, texts))
+        blocks = scratch.written(_compared(families, texts))
         edges = edges.unionByName(blocks.filter("b is not null").select("a", "b"))
         counts = counts.unionByName(blocks.filter("links is not null").select(F.col("a").alias("node"), "links")).groupBy("node").agg(F.sum("links").alias("links"))
-    classes = components(edges)
+    classes = components(edges, scratch)
     least = classes.join(nodes, "node").groupBy("component").agg(F.min("least").alias("class_id"))
     per_node = nodes.join(classes.join(least, "component").select("node", "class_id"), "node", "left").join(counts, "node", "left")
     per_node = per_node.select("node", F.coalesce("class_id", "least").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     named = rows.select("doc_id", "node").join(per_node, "node", "left")
-    return named.select("doc_id", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    return scratch.keep(named.select("doc_id", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).alias("n_links")))
 
 
 def kept(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import list_array, own_columns, shared_folder, texts_of
+from lamina.llm.common import Scratch, list_array, own_columns, texts_of
 from lamina.llm.prefix import with_base
 from lamina.llm.wordbpe import encoder
 
@@ -73,6 +73,7 @@ def checksums(rows: DataFrame) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
-    spark = docs.sparkSession
-    write(docs, path := shared_folder(spark), tokenizer, end_id)
-    return checksums(read(spark, path))
+    """Write, read back, and delete the files again."""
+    scratch = Scratch(docs.sparkSession)
+    write(docs, path := scratch.folder(), tokenizer, end_id)
+    return scratch.keep(checksums(read(docs.sparkSession, path)))

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import own_columns, texts_of, written
+from lamina.llm.common import Scratch, own_columns, texts_of
 from lamina.llm.prefix import with_base
 from lamina.llm.wordbpe import encoder
 
@@ -44,7 +44,8 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = SEQUENCE, keep_ids: bool = False) -> DataFrame:
     """One row for each piece of each document: the boundary records (and the ids, if asked for)."""
-    placed = with_base(written(encoded(docs, tokenizer, end_id)), "n")
+    scratch = Scratch(docs.sparkSession)
+    placed = with_base(scratch.written(encoded(docs, tokenizer, end_id)), "n")
 
     def cut(batches):
         for batch in batches:
@@ -62,7 +63,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = SEQUE
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:7]] + [pa.array(c, pa.binary()) for c in columns[7:]], names)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * keep_ids
-    return placed.mapInArrow(cut, ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in names))
+    return scratch.keep(placed.mapInArrow(cut, ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in names)))
 
 
 def sequences(cut: DataFrame, pad_id: int = 0, length: int = SEQUENCE) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.common import own_columns, written
+from lamina.llm.common import Scratch, own_columns
 
 SAMPLE, PIVOTS, BLOCK, QUERIES, SCALE = 4096, 64, 1024, 8192, 256
 
@@ -68,7 +68,7 @@ def _distances(x: np.ndarray, last: np.ndarray, pivots: np.ndarray) -> np.ndarra
     return np.sqrt(np.maximum(0, d2))
 
 
-def build(ints: DataFrame, pivots: np.ndarray, norm2: float) -> DataFrame:
+def build(ints: DataFrame, pivots: np.ndarray, norm2: float, scratch: Scratch) -> DataFrame:
     """pivot, dist, vec_id, v, written in sorted order."""
 
     def run(batches):
@@ -80,7 +80,7 @@ def build(ints: DataFrame, pivots: np.ndarray, norm2: float) -> DataFrame:
 
     keyed = ints.mapInArrow(run, "pivot int, dist double, vec_id long, v array<double>")
     n = int(ints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return written(keyed.repartitionByRange(n, "pivot", "dist", "vec_id").sortWithinPartitions("pivot", "dist", "vec_id"))
+    return scratch.written(keyed.repartitionByRange(n, "pivot", "dist", "vec_id").sortWithinPartitions("pivot", "dist", "vec_id"))
 
 
 class Best:
@@ -141,16 +141,16 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 def search(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """query_id, rank, vec_id, score for each vec_id divisible by ``every`` against all other rows."""
-    spark = vectors.sparkSession
-    ints = written(integers(vectors))
+    spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
+    ints = scratch.written(integers(vectors))
     norm2, n, d = ints.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)), F.count("*"), F.max(F.size("v"))).first()
     shape = "query_id long, rank int, vec_id long, score long"
     if not n:
         return spark.createDataFrame([], shape)
     sample = ints.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
     pivots = choose_pivots(np.array(sample["v"].tolist(), np.float64), norm2)
-    index = build(ints, pivots, norm2)
-    asked = written(ints.filter(F.col("vec_id") % every == 0))
+    index = build(ints, pivots, norm2, scratch)
+    asked = scratch.written(ints.filter(F.col("vec_id") % every == 0))
     groups = max(1, math.ceil(asked.count() / QUERIES))
     results = []
     for g in range(groups):
@@ -166,8 +166,8 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
         if len(near):
             known = dict(zip(near["query_id"], near["score"]))
             least = np.array([known.get(i, -np.inf) for i in ids.tolist()], np.float64)
-        results.append(written(_ranked(_scan(index, send(least), k, norm2, False), k)))
+        results.append(scratch.written(_ranked(_scan(index, send(least), k, norm2, False), k)))
     out = results[0] if results else spark.createDataFrame([], shape)
     for more in results[1:]:
         out = out.unionByName(more)
-    return out.select("query_id", "rank", "vec_id", "score")
+    return scratch.keep(out.select("query_id", "rank", "vec_id", "score"))
