@@ -11,27 +11,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import drop_written, written
+from lamina.llm.common import Scratch
 
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges: a, b (long). -> node, component (the smallest node). Nodes without edges don't occur; edges with nulls are ignored."""
-    edges = written(edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+def components(edges: DataFrame, scratch: Scratch, rows_per_task: int = 50_000) -> DataFrame:
+    """edges: a, b (long). -> node, component (the smallest node). Nodes without edges don't occur; edges with nulls are ignored.
+
+    The edges get fewer with each round; each round's tasks are as many as its edges call for.
+    """
+    most = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = scratch.written(edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _mark(edges)
     while before[0]:
+        n = min(most, 1 + before[0] // rows_per_task)
+        few = lambda df, n=n: df.coalesce(n)
+        edges = few(edges)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        large = large.unionByName(edges.groupBy("a").agg(F.min("b").alias("b"))).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        after_edges = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        least = few(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        large = few(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b"))
+        large = few(large.unionByName(few(edges.groupBy("a").agg(F.min("b").alias("b")))).distinct())
+        least = few(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = few(large.join(least, "a")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b")
+        after_edges = scratch.written(few(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
         after = _mark(after_edges)
-        drop_written(edges.sparkSession, edges)
         edges = after_edges
         if after == before:
             break
