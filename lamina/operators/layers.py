@@ -91,10 +91,11 @@ def vc0(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def unvc0(df: DataFrame, key: str) -> DataFrame:
-    """key, content: the bytes that vc0() took apart. Positions within each class are running counts of the mask."""
-    at = df.select(key, "vowels", "cons", F.posexplode(F.split("mask", "")).alias("pos", "m")).filter("m <> ''")
-    by = Window.partitionBy(key).orderBy("pos")
-    n_vowel = F.sum((F.col("m") == "V").cast("int")).over(by)
-    char = F.when(F.col("m") == "V", F.substring(F.col("vowels"), n_vowel, F.lit(1))).otherwise(F.substring(F.col("cons"), F.col("pos") + 1 - n_vowel, F.lit(1)))
-    chars = at.withColumn("c", char).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "c"))).alias("p"))
-    return chars.select(key, F.encode(F.concat_ws("", F.transform("p", lambda x: x["c"])), "ISO-8859-1").alias("content"))
+    """key, content: the bytes that vc0() took apart. A character's place in its class is a running count of the mask; rows carry one character each."""
+    chars = lambda c: F.posexplode(F.split(c, "")).alias("pos", "c")
+    mask = df.select(key, chars("mask")).filter("c <> ''").withColumn("vowel", F.col("c") == "V")
+    idx = F.row_number().over(Window.partitionBy(key, "vowel").orderBy("pos")) - 1
+    places = mask.withColumn("idx", idx).select(key, "vowel", "idx", "pos")
+    found = df.select(key, F.lit(True).alias("vowel"), chars("vowels")).unionByName(df.select(key, F.lit(False).alias("vowel"), chars("cons"))).withColumnRenamed("pos", "idx")
+    back = places.join(found, [key, "vowel", "idx"]).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "c"))).alias("p"))
+    return back.select(key, F.encode(F.concat_ws("", F.transform("p", lambda x: x["c"])), "ISO-8859-1").alias("content"))
