@@ -42,8 +42,8 @@ def invoices(spark: SparkSession, d: str) -> DataFrame:
     """One text a customer: lines made from its orders' items. No aggregate of whole lines is needed but to make the text."""
     o, li = spark.read.parquet(f"{d}/orders.parquet"), spark.read.parquet(f"{d}/lineitem.parquet")
     line = F.format_string("ITEM %d: part=%d qty=%d line %d\n", F.col("l_orderkey"), F.col("l_partkey"), F.col("l_quantity").cast("long"), F.col("l_linenumber"))
-    rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_orderkey", "l_linenumber", "l_partkey", line.alias("line"))
-    return rows.groupBy("o_custkey").agg(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", "line"))), lambda x: x["line"])).alias("text"))
+    rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", line.alias("line"))
+    return rows.groupBy("o_custkey").agg(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "line"))), lambda x: x["line"])).alias("text"))
 
 
 INVOICES = """SELECT o_custkey, string_agg('ITEM ' || l_orderkey || ': part=' || l_partkey || ' qty=' || l_quantity::BIGINT || ' line ' || l_linenumber || chr(10), '' ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS text
