@@ -23,13 +23,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from lamina.plans import roundtrips
+    from lamina.plans import roundtrips, rules  # noqa: F401
 
     return QUERIES | roundtrips.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from lamina.plans import roundtrips
+    from lamina.plans import roundtrips, rules  # noqa: F401
 
     return SQL | roundtrips.SQL
 

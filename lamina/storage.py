@@ -16,7 +16,7 @@ def shared_folder(spark: SparkSession) -> str:
     Where the setting is missing, a local master gets a temporary folder; a cluster gets an
     error, as its machines don't see each other's local disks.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
