@@ -14,14 +14,13 @@ import hashlib
 import heapq
 import json
 import re
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lamina.llm.common import Memo, own_columns, texts_of
+from lamina.llm.common import Memo, own_columns, resident, texts_of
 
 #: The white space of Unicode, and the pattern of byte-level BPE's words with it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -103,10 +102,8 @@ class BytePairCodec:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@cache
 def codec_of(path: str) -> BytePairCodec:
-    """One a Python worker, which keeps what it remembers from task to task."""
-    return BytePairCodec(path)
+    return resident(path, lambda: BytePairCodec(path))
 
 
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:

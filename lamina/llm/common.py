@@ -6,7 +6,6 @@ space, tab, newline, vertical tab, form feed and carriage return.
 
 from __future__ import annotations
 
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +59,7 @@ class Memo(dict):
 class WordHashes:
     """64-bit hashes of words."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 200_000):
         self.known = Memo(xxhash.xxh3_64_intdigest, limit)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
@@ -68,10 +67,19 @@ class WordHashes:
         return np.fromiter(map(self.known.__getitem__, words), _U64, len(words))
 
 
-@cache
+_LIVE: dict = {}
+
+
+def resident(name: str, make):
+    """What a Python worker keeps from task to task: one operator's caches at a time, so that those of an earlier stage don't add to its memory."""
+    if name not in _LIVE:
+        _LIVE.clear()
+        _LIVE[name] = make()
+    return _LIVE[name]
+
+
 def word_hashes() -> WordHashes:
-    """One a Python worker, which keeps what it remembers from task to task."""
-    return WordHashes()
+    return resident("words", WordHashes)
 
 
 def words_of(text: str) -> list[bytes]:

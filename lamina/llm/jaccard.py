@@ -111,17 +111,20 @@ def link_matrix(sets: list[np.ndarray], threshold: Fraction = THRESHOLD) -> np.n
         m[owner[here], at[here] - k] = 1
         both += m @ m.T
     size = np.array([len(s) for s in sets], np.float64)
-    both = both.astype(np.float64)
-    links = both * threshold.denominator >= threshold.numerator * (size[:, None] + size[None, :] - both)
+    links = np.empty((n, n), bool)
+    for k in range(0, n, 256):  # by rows: wide numbers for a few at a time
+        some = both[k : k + 256].astype(np.float64)
+        links[k : k + 256] = some * threshold.denominator >= threshold.numerator * (size[k : k + 256, None] + size[None, :] - some)
     np.fill_diagonal(links, False)
     return links
 
 
 def forest(links: np.ndarray) -> np.ndarray:
     """The smallest row number that each row is connected to."""
-    label = np.arange(len(links))
+    n = len(links)
+    label = np.arange(n)
     while True:
-        least = np.minimum(label, np.where(links, label[None, :], len(links)).min(axis=1, initial=len(links)))
+        least = np.array([min(label[k], label[row].min(initial=n)) for k, row in enumerate(links)], np.int64)
         least = least[least]
         if (least == label).all():
             return label

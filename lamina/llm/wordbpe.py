@@ -10,10 +10,9 @@ from __future__ import annotations
 
 import os
 from array import array
-from functools import cache
 
 from lamina.llm.bpe import byte_letters
-from lamina.llm.common import Memo
+from lamina.llm.common import Memo, resident
 
 
 #: ASCII marks, which make up one token run after letters; the apostrophe may begin a contraction.
@@ -59,7 +58,5 @@ class PieceEncoder:
         return array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
 
 
-@cache
 def encoder(path: str) -> PieceEncoder:
-    """One a Python worker, which keeps what it remembers from task to task."""
-    return PieceEncoder(path)
+    return resident(path, lambda: PieceEncoder(path))
