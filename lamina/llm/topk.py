@@ -113,9 +113,10 @@ def _scan(index: DataFrame, queries, k: int, norm2: float, first: bool) -> DataF
         q = q.astype(kind)
         for batch in batches:
             pivot, dist, vec, x = np.asarray(batch.column("pivot")), np.asarray(batch.column("dist")), np.asarray(batch.column("vec_id")), _matrix(batch.column("v")).astype(kind)
-            edges = sorted({0, len(pivot), *(np.flatnonzero(np.diff(pivot)) + 1).tolist()})
+            # Files are read in any order, and a batch may run across several: an annulus also ends where the order does.
+            edges = sorted({0, len(pivot), *(np.flatnonzero((np.diff(pivot) != 0) | (np.diff(dist) < 0)) + 1).tolist()})
             for a, z in ((i, min(i + BLOCK, e)) for s, e in zip(edges, edges[1:]) for i in range(s, e, BLOCK)):
-                p, lo, hi = pivot[a], dist[a], dist[z - 1]
+                p, lo, hi = pivot[a], dist[a:z].min(), dist[a:z].max()
                 gap = np.maximum(0, np.maximum(lo - to_pivot[:, p], to_pivot[:, p] - hi))
                 if first:
                     chosen = np.flatnonzero((home == p) & (gap <= 0.05 * math.sqrt(norm2)))

@@ -119,6 +119,24 @@ def test_op3(spark):
     assert {tuple(r) for r in queries.op3_topk(spark, D).collect()} == want
 
 
+def test_topk_annuli_of_files_in_any_order(spark):
+    """Two sorted files of one pivot in one batch, the farther one first: a query finds its neighbours in either."""
+    angle = np.linspace(0, 3, 60)
+    x = np.floor(1000 * np.c_[np.cos(angle), np.sin(angle)])
+    norm2 = float((x**2).sum(1).max())
+    last = np.sqrt(norm2 - (x**2).sum(1))
+    pivots = np.hstack([x[:1], last[:1, None]])
+    dist = topk._distances(x, last, pivots)[:, 0]
+    order = np.argsort(dist)
+    order = np.r_[order[50:], order[:50]]
+    index = spark.createDataFrame([(0, float(dist[k]), int(k), x[k].tolist()) for k in order], "pivot int, dist double, vec_id long, v array<double>").coalesce(1)
+    score = np.sort(x @ x.T, 1)[:, ::-1][:, :5]
+    sent = spark.sparkContext.broadcast((np.arange(1000, 1060), x, topk._distances(x, np.zeros(60), pivots), np.zeros(60, int), score[:, 4].copy()))
+    got = topk._scan(index, sent, 5, norm2, False).toPandas()
+    for k in range(60):
+        assert sorted(got["score"][got["query_id"] == 1000 + k], reverse=True)[:5] == score[k].tolist()
+
+
 def test_topk_cases(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(40, 8))
