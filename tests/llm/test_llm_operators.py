@@ -279,6 +279,22 @@ def test_passages_against_brute_force(spark):
     assert total > 100 and len(missed) <= 0.001 * total
 
 
+def test_chains_past_runs_at_other_shifts():
+    """300 words alike but for one word in 60, and between them four five-word runs at other alignments each."""
+    rng = np.random.default_rng(1)
+    fresh = lambda n: rng.integers(1, 1 << 60, n).astype(np.uint64)
+    a = fresh(300)
+    b = np.concatenate([a, fresh(200)])
+    b[30::60][:5] = fresh(5)
+    anchors = [(10, 10)]
+    for k in range(4):
+        for q in range(4):
+            at, to = 60 * k + 32 + 7 * q, 305 + 7 * (4 * k + q)
+            b[to : to + 5] = a[at : at + 5]
+            anchors.append((at, to))
+    assert (0, 300, 0, 300) in [m[:4] for m in passages.matches(a, b, anchors)]
+
+
 def test_passages_cases(spark):
     rng = random.Random(2)
     fresh = lambda n: " ".join(f"u{rng.random()}" for _ in range(n))
