@@ -2,7 +2,8 @@
 
 The guess cost of a value is that of its cheapest segmentation into words, dates, repeats, keyboard
 walks and brute-force spans, found by dynamic programming over end positions; costs are bits and add
-up. A value after a credential word that costs ``BITS`` or more is a secret, also where it is too short
+up. Words are those that people put into passwords and the whole words of a tokenizer's vocabulary. A value
+after a credential word that costs ``BITS`` or more is a secret, also where it is too short
 or has characters beyond what the fixed patterns take. The patterns' spans always stay; the method's
 are added where they overlap none of them.
 
@@ -13,6 +14,7 @@ Empty tables give no rows. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from functools import lru_cache
@@ -35,12 +37,26 @@ BITS = 36.0
 WORDS = "password admin welcome login qwerty letmein dragon monkey master hello freedom secret shadow summer winter spring autumn sunshine princess football baseball superman batman iloveyou test guest root user default changeme access trust ninja flower star love angel money cookie orange purple silver golden tiger lion eagle panda rabbit soccer hockey hunter ranger jordan michael charlie thomas robert daniel andrew joshua jessica jennifer ashley nicole pepper ginger cheese banana computer internet server system network database example sample demo temp private public none null true false value string your here token key".split()
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "qazwsxedcrfvtgbyhnujmik", "abcdefghijklmnopqrstuvwxyz")
 DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
-_RANK = {w: k + 1 for k, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
+_LONGEST = 20
 _NEXT = {row[k : k + 2] for r in ROWS for row in (r, r[::-1]) for k in range(len(r) - 1)}
 _LEET = str.maketrans("013457@$!", "oleastasi")
 
 
+@lru_cache(maxsize=1)
+def _ranks() -> dict[str, int]:
+    """Word -> rank: WORDS, then the whole words of three letters or more in the vocabulary of the word tokenizer, commonest first. Plain words are priced by it."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    found = {w: k + 1 for k, w in enumerate(WORDS)}
+    for piece in sorted(vocabulary, key=vocabulary.get):
+        word = piece.removesuffix("</w>")
+        if word != piece and 3 <= len(word) <= _LONGEST and word.isascii() and word.isalpha():
+            found.setdefault(word, len(found) + 1)
+    return found
+
+
 def _brute(c: str) -> float:
     return math.log2(10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100)
 
@@ -48,7 +64,7 @@ def _brute(c: str) -> float:
 @lru_cache(maxsize=10_000)
 def guess_bits(value: str) -> float:
     """log2 of the guesses that the cheapest segmentation takes. Linear in the length for values without long repeats and walks."""
-    n, low = len(value), value.lower()
+    n, low, ranks = len(value), value.lower(), _ranks()
     plain = low.translate(_LEET)
     best = [0.0] + [math.inf] * n
     upper = value.isupper() or value.islower()
@@ -57,8 +73,8 @@ def guess_bits(value: str) -> float:
         best[i + 1] = min(best[i + 1], best[i] + _brute(value[i]) + (0 if upper or not value[i].isalpha() else 0.5))
         for j in range(i + 3, min(n, i + _LONGEST) + 1):
             for form, more in ((low[i:j], 0.0), (plain[i:j], 2.0)):
-                if form in _RANK:
-                    best[j] = min(best[j], here + math.log2(_RANK[form]) + more + (1.0 if value[i:j] != low[i:j] else 0.0))
+                if form in ranks:
+                    best[j] = min(best[j], here + math.log2(ranks[form]) + more + (1.0 if value[i:j] != low[i:j] else 0.0))
         if found := DATE.match(value, i):
             j = found.end()
             best[j] = min(best[j], here + (15.2 if j - i > 4 else 6.7))
@@ -100,7 +116,7 @@ def spans(text: str) -> list[tuple[int, int, int]]:
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip(".:!?)]}")
             a, b = m.start(1), m.start(1) + len(value)
-            if len(value) >= 8 and not any(s < b and e > m.start() for s, _, e in base) and any(c.isdigit() for c in value) and guess_bits(value[:256]) >= BITS:
+            if len(value) >= 8 and not any(s < b and e > m.start() for s, _, e in base) and guess_bits(value[:256]) >= BITS:
                 out.append((a, 3, b))
     return sorted(out)
 

@@ -399,6 +399,14 @@ def test_secret_cases(spark):
     assert secrets.scanned(docs(spark, texts)).count() == len(texts) and secrets.scanned(docs(spark, [])).count() == 0
 
 
+def test_secrets_without_digits():
+    for text in ("pwd=QxZvKpLmWtYs", "auth: hJ$kLm!pQ&rTz", "passwd: hJ$kLm!pQ&rT"):
+        at = re.search("[=:] ?", text).end()
+        assert (at, 3, len(text)) in secrets.spans(text) and secrets.masked(text) == text[:at] + "[SECRET]"
+    for text in ("secret: unfortunately", "pwd: international", "token: something", "auth: PASSWORD"):
+        assert not [s for s in secrets.spans(text) if s[1] == 3]
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     import corpus_pipeline
