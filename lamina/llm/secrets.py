@@ -5,7 +5,7 @@ walks and brute-force spans, found by dynamic programming over end positions; co
 up. Words are those that people put into passwords and the whole words of a tokenizer's vocabulary. A value
 after a credential word that costs ``BITS`` or more is a secret, also where it is too short
 or has characters beyond what the fixed patterns take. The patterns' spans always stay; the method's
-are added where they overlap none of them.
+are added where they reach beyond each of them.
 
 Nulls: a null text is empty and has no spans. A null doc_id is kept; repeated rows are scanned each.
 Empty tables give no rows. Other columns are ignored.
@@ -61,40 +61,53 @@ def _brute(c: str) -> float:
     return math.log2(10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100)
 
 
-@lru_cache(maxsize=10_000)
-def guess_bits(value: str) -> float:
-    """log2 of the guesses that the cheapest segmentation takes. Linear in the length for values without long repeats and walks."""
-    n, low, ranks = len(value), value.lower(), _ranks()
+def guess_bits(value: str, enough: float = math.inf) -> float:
+    """log2 of the guesses that the cheapest segmentation takes, or infinity once none is cheaper than ``enough``. Linear in the length."""
+    n, ranks = len(value), _ranks()
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(_LEET)
-    best = [0.0] + [math.inf] * n
     upper = value.isupper() or value.islower()
+    # for each place: the end of the walk and of the repeat from it, and how long it goes on as it was 2, 3 or 4 before
+    walk, same = list(range(1, n + 1)), list(range(1, n + 1))
+    again = {size: [0] * (n + 1) for size in (2, 3, 4)}
+    for i in range(n - 2, -1, -1):
+        if low[i : i + 2] in _NEXT:
+            walk[i] = walk[i + 1]
+        if low[i] == low[i + 1]:
+            same[i] = same[i + 1]
+        for size, run in again.items():
+            if i + size < n and low[i] == low[i + size]:
+                run[i] = run[i + 1] + 1
+    best = [0.0] + [math.inf] * n
+    reach = 0  # the last place that costs less than enough
+
+    def put(j: int, cost: float) -> None:
+        nonlocal reach
+        if cost < best[j]:
+            best[j] = cost
+            if cost < enough and j > reach:
+                reach = j
+
     for i in range(n):
+        if i > reach:
+            return math.inf
         here = best[i] + 1.0  # a new segment costs a choice of its kind
-        best[i + 1] = min(best[i + 1], best[i] + _brute(value[i]) + (0 if upper or not value[i].isalpha() else 0.5))
+        put(i + 1, best[i] + _brute(value[i]) + (0 if upper or not value[i].isalpha() else 0.5))
         for j in range(i + 3, min(n, i + _LONGEST) + 1):
             for form, more in ((low[i:j], 0.0), (plain[i:j], 2.0)):
                 if form in ranks:
-                    best[j] = min(best[j], here + math.log2(ranks[form]) + more + (1.0 if value[i:j] != low[i:j] else 0.0))
+                    put(j, here + math.log2(ranks[form]) + more + (1.0 if value[i:j] != low[i:j] else 0.0))
         if found := DATE.match(value, i):
-            j = found.end()
-            best[j] = min(best[j], here + (15.2 if j - i > 4 else 6.7))
-        j = i + 1
-        while j < n and low[j] == low[i]:
-            j += 1
-        if j - i >= 3:
-            best[j] = min(best[j], here + _brute(value[i]) + math.log2(j - i))
+            put(found.end(), here + (15.2 if found.end() - i > 4 else 6.7))
+        if same[i] - i >= 3:
+            put(same[i], here + _brute(value[i]) + math.log2(same[i] - i))
         if value[i].isalnum():
-            for size in (2, 3, 4):
-                unit, j = low[i : i + size], i + size
-                while low.startswith(unit, j) and len(unit) == size:
-                    j += size
-                if j > i + size:
-                    best[j] = min(best[j], here + sum(map(_brute, unit)) + math.log2((j - i) // size))
-        j = i + 1
-        while j < n and low[j - 1 : j + 1] in _NEXT:
-            j += 1
-        if j - i >= 3:
-            best[j] = min(best[j], here + math.log2(2 * sum(map(len, ROWS))) + math.log2(j - i))
+            for size, run in again.items():
+                if run[i] >= size:
+                    times = run[i] // size + 1
+                    put(i + times * size, here + sum(map(_brute, low[i : i + size])) + math.log2(times))
+        if walk[i] - i >= 3:
+            put(walk[i], here + math.log2(2 * sum(map(len, ROWS))) + math.log2(walk[i] - i))
     return best[n]
 
 
@@ -116,7 +129,7 @@ def spans(text: str) -> list[tuple[int, int, int]]:
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip(".:!?)]}")
             a, b = m.start(1), m.start(1) + len(value)
-            if len(value) >= 8 and not any(s < b and e > m.start() for s, _, e in base) and guess_bits(value[:256]) >= BITS:
+            if len(value) >= 8 and not any(s <= a and b <= e for s, _, e in base) and guess_bits(value, BITS) >= BITS:
                 out.append((a, 3, b))
     return sorted(out)
 

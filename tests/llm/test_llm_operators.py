@@ -407,6 +407,14 @@ def test_secrets_without_digits():
         assert not [s for s in secrets.spans(text) if s[1] == 3]
 
 
+def test_secrets_take_whole_values():
+    long = "auth: " + "z" * 300 + "xK9#fQ2!zRw7$"
+    assert secrets.spans(long) == [(6, 3, len(long))]
+    text = 'password="Abcdef123456!@#xyz"'
+    assert [k for _, k, _ in secrets.spans(text)] == [0, 3] and secrets.masked(text) == '[SECRET]"'
+    assert secrets.guess_bits("a1" * 40_000) < secrets.BITS
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     import corpus_pipeline
