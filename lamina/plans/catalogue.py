@@ -357,6 +357,14 @@ def concat_sha256(spark, d):
     return concat_hashes(docs(spark, d, "source", "n_chars").filter("n_chars < 2000"), "source", "doc_id", "text")
 
 
+@query("SELECT source, sha256(string_agg(text, '' ORDER BY doc_id)) AS concat_sha256, sum(octet_length(encode(text)))::BIGINT AS n_bytes FROM documents GROUP BY 1")
+def concat_sha256_all(spark, d):
+    """As concat_sha256, whose SQL takes documents below 2000 characters only, but over all documents."""
+    from lamina.kernels.arrow import concat_hashes
+
+    return concat_hashes(docs(spark, d, "source"), "source", "doc_id", "text")
+
+
 @query("SELECT doc_id, sha256(text) AS sha FROM documents")
 def slice_restore(spark, d):
     """Cut each document out of the 64 KiB blocks of its source's concatenation that it lies in."""

@@ -21,3 +21,8 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 20
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_concatenation_takes_all_documents(spark):
+    total = spark.read.parquet(f"{D}/documents.parquet").selectExpr("sum(octet_length(text)) AS n").first().n
+    assert catalogue.queries()["concat_sha256_all"](spark, D).selectExpr("sum(n_bytes) AS n").first().n == total
