@@ -43,6 +43,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, shared_folder(spark), 0
+        self.tables: list[tuple[DataFrame, str]] = []
 
     def folder(self) -> str:
         self.n += 1
@@ -51,7 +52,15 @@ class Scratch:
     def written(self, df: DataFrame) -> DataFrame:
         path = self.folder()
         df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((out, path))
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete a table that nothing reads any more."""
+        for table, path in self.tables:
+            if table is df:
+                delete(self.spark, path)
 
     def keep(self, df: DataFrame) -> DataFrame:
         out = written(df)
