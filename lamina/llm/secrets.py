@@ -36,7 +36,9 @@ BITS = 36.0
 #: Words that people put into passwords, commonest first, and keyboard rows.
 WORDS = "password admin welcome login qwerty letmein dragon monkey master hello freedom secret shadow summer winter spring autumn sunshine princess football baseball superman batman iloveyou test guest root user default changeme access trust ninja flower star love angel money cookie orange purple silver golden tiger lion eagle panda rabbit soccer hockey hunter ranger jordan michael charlie thomas robert daniel andrew joshua jessica jennifer ashley nicole pepper ginger cheese banana computer internet server system network database example sample demo temp private public none null true false value string your here token key".split()
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "qazwsxedcrfvtgbyhnujmik", "abcdefghijklmnopqrstuvwxyz")
-DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
+_YEAR, _MONTH, _DAY, _MARK = "(?:19|20)\\d\\d", "(?:0[1-9]|1[0-2])", "(?:0[1-9]|[12]\\d|3[01])", "[-/.]?"
+#: Dates with their bits: days of two centuries, or years.
+DATES = [(re.compile(_YEAR + _MARK + _MONTH + _MARK + _DAY), 15.2), (re.compile(_DAY + _MARK + _MONTH + _MARK + _YEAR), 15.2), (re.compile(_YEAR), 6.7)]
 _LONGEST = 20
 _NEXT = {row[k : k + 2] for r in ROWS for row in (r, r[::-1]) for k in range(len(r) - 1)}
 _LEET = str.maketrans("013457@$!", "oleastasi")
@@ -61,53 +63,93 @@ def _brute(c: str) -> float:
     return math.log2(10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100)
 
 
+class _Run:
+    """A stretch of repeats of ``step`` characters, or a walk (step 1): any part of it of ``least`` steps or more is a segment.
+
+    A part of n steps costs ``bits`` and the length of n in binary. For each place the cheapest start with 2^b to 2^(b+1) - 1
+    steps is a minimum over 2^b starts, kept as minima over powers of two that are extended place by place.
+    """
+
+    def __init__(self, start: int, end: int, step: int, least: int, bits: float):
+        self.start, self.end, self.step, self.least, self.bits = start, end, step, least, bits
+        self.minima = [[[] for _ in range(((end - start) // step).bit_length() + 1)] for _ in range(step)]
+
+    def cheapest(self, place: int) -> float:
+        n, rest = divmod(place - self.start, self.step)
+        minima, out = self.minima[rest], math.inf
+        for b in range(1, n.bit_length()):
+            if b > 1 or self.least == 2:
+                out = min(out, minima[b][n - (1 << b)] + b + 1)
+            elif n >= 3:
+                out = min(out, minima[0][n - 3] + b + 1)
+        return out + self.bits
+
+    def add(self, place: int, cost: float) -> None:
+        n, rest = divmod(place - self.start, self.step)
+        minima = self.minima[rest]
+        minima[0].append(cost)
+        for b in range(1, len(minima)):
+            k = n - (1 << (b - 1))
+            minima[b].append(min(minima[b - 1][n], minima[b - 1][k]) if k >= 0 else minima[b - 1][n])
+
+
+def _runs(low: str) -> list[_Run]:
+    """All repeats and walks, as long as they go."""
+    out = []
+    walk = math.log2(2 * sum(map(len, ROWS)))
+    kinds = [(1, walk, lambda i: low[i : i + 2] in _NEXT), *((k, None, lambda i, k=k: low[i] == low[i + k]) for k in (1, 2, 3, 4))]
+    for step, bits, goes_on in kinds:
+        i = 0
+        while i + step < len(low):
+            if not goes_on(i):
+                i += 1
+                continue
+            begin = i
+            while i + step < len(low) and goes_on(i):
+                i += 1
+            least = 3 if step == 1 else 2
+            if i + step - begin >= least * step:
+                out.append(_Run(begin, i + step, step, least, 1 + (sum(map(_brute, low[begin : begin + step])) if bits is None else bits)))
+    return out
+
+
 def guess_bits(value: str, enough: float = math.inf) -> float:
-    """log2 of the guesses that the cheapest segmentation takes, or infinity once none is cheaper than ``enough``. Linear in the length."""
+    """log2 of the guesses that the cheapest segmentation takes, or infinity once none can be cheaper than ``enough``.
+
+    Brute force costs a character's alphabet, and half a bit a letter where upper and lower case are mixed. Each other segment costs one
+    bit for its kind; a word the log of its rank, two bits more with digits or signs for letters and one more with capitals; a date its
+    bits; repeats and walks see _Run. Takes n log n steps.
+    """
     n, ranks = len(value), _ranks()
     low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(_LEET)
-    upper = value.isupper() or value.islower()
-    # for each place: the end of the walk and of the repeat from it, and how long it goes on as it was 2, 3 or 4 before
-    walk, same = list(range(1, n + 1)), list(range(1, n + 1))
-    again = {size: [0] * (n + 1) for size in (2, 3, 4)}
-    for i in range(n - 2, -1, -1):
-        if low[i : i + 2] in _NEXT:
-            walk[i] = walk[i + 1]
-        if low[i] == low[i + 1]:
-            same[i] = same[i + 1]
-        for size, run in again.items():
-            if i + size < n and low[i] == low[i + size]:
-                run[i] = run[i + 1] + 1
-    best = [0.0] + [math.inf] * n
-    reach = 0  # the last place that costs less than enough
-
-    def put(j: int, cost: float) -> None:
-        nonlocal reach
-        if cost < best[j]:
-            best[j] = cost
-            if cost < enough and j > reach:
-                reach = j
-
-    for i in range(n):
-        if i > reach:
+    one_case = value.isupper() or value.islower()
+    runs = sorted(_runs(low), key=lambda r: -r.start)
+    best, live = [0.0] + [math.inf] * n, []
+    for i in range(n + 1):
+        while runs and runs[-1].start == i:
+            live.append(runs.pop())
+        live = [r for r in live if r.end >= i]
+        for r in live:
+            best[i] = min(best[i], r.cheapest(i))
+        for r in live:
+            r.add(i, best[i])
+        if i == n:
+            break
+        # a segment that goes across this place begins within a word's length before it, or is part of a run
+        if i % 32 == 31 and best[i] >= enough and min(best[max(0, i - _LONGEST) : i + 1]) >= enough and not any(r.start < i - _LONGEST for r in live):
             return math.inf
-        here = best[i] + 1.0  # a new segment costs a choice of its kind
-        put(i + 1, best[i] + _brute(value[i]) + (0 if upper or not value[i].isalpha() else 0.5))
+        best[i + 1] = min(best[i + 1], best[i] + _brute(value[i]) + (0.5 if value[i].isalpha() and not one_case else 0))
+        here = best[i] + 1
         for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            for form, more in ((low[i:j], 0.0), (plain[i:j], 2.0)):
-                if form in ranks:
-                    put(j, here + math.log2(ranks[form]) + more + (1.0 if value[i:j] != low[i:j] else 0.0))
-        if found := DATE.match(value, i):
-            put(found.end(), here + (15.2 if found.end() - i > 4 else 6.7))
-        if same[i] - i >= 3:
-            put(same[i], here + _brute(value[i]) + math.log2(same[i] - i))
-        if value[i].isalnum():
-            for size, run in again.items():
-                if run[i] >= size:
-                    times = run[i] // size + 1
-                    put(i + times * size, here + sum(map(_brute, low[i : i + size])) + math.log2(times))
-        if walk[i] - i >= 3:
-            put(walk[i], here + math.log2(2 * sum(map(len, ROWS))) + math.log2(walk[i] - i))
+            capital = 1.0 if value[i:j] != low[i:j] else 0.0
+            if low[i:j] in ranks:
+                best[j] = min(best[j], here + math.log2(ranks[low[i:j]]) + capital)
+            elif plain[i:j] in ranks:
+                best[j] = min(best[j], here + math.log2(ranks[plain[i:j]]) + 2 + capital)
+        for pattern, bits in DATES:
+            if found := pattern.match(value, i):
+                best[found.end()] = min(best[found.end()], here + bits)
     return best[n]
 
 

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and its defined cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -499,6 +500,56 @@ def test_secrets_take_whole_values():
     assert secrets.guess_bits("a1" * 40_000) < secrets.BITS
 
 
+def segment_bits(value, i, j):
+    """What one segment costs, by the kinds' definitions."""
+    low = value.lower()
+    part, plain, n = low[i:j], low[i:j].translate(secrets._LEET), j - i
+    one_case = value.isupper() or value.islower()
+    out = [sum(secrets._brute(c) + (0.5 if c.isalpha() and not one_case else 0) for c in value[i:j])]
+    for form, more in ((part, 0), (plain, 2)):
+        if 3 <= n <= 20 and form in secrets._ranks():
+            out.append(1 + math.log2(secrets._ranks()[form]) + more + (value[i:j] != part))
+    if n >= 3 and all(part[k : k + 2] in secrets._NEXT for k in range(n - 1)):
+        out.append(1 + math.log2(2 * sum(map(len, secrets.ROWS))) + n.bit_length())
+    for size in (1, 2, 3, 4):
+        if n % size == 0 and n // size >= (3 if size == 1 else 2) and part == part[:size] * (n // size):
+            out.append(1 + sum(map(secrets._brute, part[:size])) + (n // size).bit_length())
+    out += [1 + bits for pattern, bits in secrets.DATES if pattern.fullmatch(value[i:j])]
+    return min(out)
+
+
+def test_guess_bits_is_the_minimum_over_all_segmentations():
+    rng = random.Random(8)
+    bits = ["qwerty", "asdf", "aaa", "abab", "1234", "pass", "word", "admin", "p4ss", "2024", "1999-12-31", "xK#", "Zz", "00", "xyzxyz", "love", "é"]
+    values = ["qwertyuiopassword", "aaaadmin", "".join(["ab"] * 8), "19991231", "a" * 13, "abcabcabcabc", "Password1", "12341234"]
+    values += ["".join(rng.choices(bits, k=3))[: rng.randrange(1, 14)] for _ in range(120)]
+    for value in values:
+        n = len(value)
+        cost = {(i, j): segment_bits(value, i, j) for i in range(n) for j in range(i + 1, n + 1)}
+        best = [0.0]
+        for j in range(1, n + 1):
+            best.append(min(best[i] + cost[i, j] for i in range(j)))
+        assert abs(secrets.guess_bits(value) - best[n]) < 1e-9, value
+        # the same over explicit segmentations, where they are few
+        if n <= 10:
+            cuts = ([0, *(k for k in range(1, n) if mask >> (k - 1) & 1), n] for mask in range(1 << (n - 1)))
+            assert abs(min(sum(cost[a, b] for a, b in zip(c, c[1:])) for c in cuts) - best[n]) < 1e-9
+        assert secrets.guess_bits(value, 1000) == secrets.guess_bits(value)
+    for a, b in (("qwertyuio", "password"), ("aaa", "admin"), ("z" * 300, "xK9#fQ2!zRw#8Lm!1")):
+        assert secrets.guess_bits(a + b) <= secrets.guess_bits(a) + secrets.guess_bits(b) + 1e-9
+
+
+def test_secrets_of_made_passwords():
+    """Random values are found and phrases are left alone, behind a credential word."""
+    rng = random.Random(12)
+    signs = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789!#$%&*+-_@"
+    words = [w for w in secrets._ranks() if 4 <= len(w) <= 7][:4000]
+    secret = ["".join(rng.choices(signs, k=rng.randrange(9, 20))) for _ in range(300)]
+    plain = ["".join(rng.choices(words, k=2)) + rng.choice(["", "1", "2024", "!!!"]) for _ in range(300)]
+    found = [[k for _, k, _ in secrets.spans(f"the pwd: {v} ok")] for v in secret + plain]
+    assert np.mean([bool(f) for f in found[:300]]) >= 0.99 and np.mean([bool(f) for f in found[300:]]) <= 0.03
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     import corpus_pipeline
