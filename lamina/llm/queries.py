@@ -44,7 +44,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    return chat.read_back(written(chat.formatted(turns.unionByName(probe))))
+    return chat.read_back(written(chat.formatted(turns.unionByName(probe), looks_back=0)))
 
 
 def op8_ring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -423,8 +423,9 @@ def test_op7(spark):
 def test_chat_cases(spark):
     rows = [(1, k, "user" if k % 2 else "assistant", f"t{k} \\ </s> \\\\<s>[/INST") for k in range(100)] + [(2, 0, None, None), (3, 0, "assistant", "é😀"), (3, 0, "assistant", "é😀"), (4, 0, "[INST]\n", "")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, output string")
-    got = {r[0]: tuple(r[1:]) for r in chat.read_back(chat.formatted(df, window=8)).collect()}
+    got = {r[0]: tuple(r[1:]) for r in chat.read_back(chat.formatted(df)).collect()}
     assert got == conversations(rows)
+    assert {r[0]: tuple(r[1:]) for r in chat.read_back(chat.formatted(df, looks_back=0)).collect()} == got
     assert chat.read_back(chat.formatted(df.limit(0))).count() == 0
     for s in ("\\", "<s>", "\\<s>", "<\\s>", "[/INST][INST]</s>", "<<s>"):
         assert chat.unescape(chat.escape(s)) == s and not any(c in chat.escape(s) for c in chat.CONTROL)
@@ -432,6 +433,44 @@ def test_chat_cases(spark):
     assert chat.rewrites_history(lambda t: "".join(x for _, x in t[-2:]), turns) and chat.rewrites_history(lambda t: f"{len(t)}:", turns) and not chat.rewrites_history(chat.template, turns)
 
 
+def odd_templates():
+    """Made here, so that they travel to the workers by value."""
+
+    def rewrites_late(turns):
+        """Drops all but the last turn once there are over 40."""
+        return chat.template(turns if len(turns) <= 40 else turns[-1:])
+
+    def marks_tenths(turns):
+        return "".join(f"{'#' if k % 10 == 9 else ''}{t};" for k, (_, t) in enumerate(turns))
+
+    def names_last_role(turns):
+        """Tells who spoke before, so it looks back one turn."""
+        return "".join(f"[{turns[k - 1][0] if k else ''}]{t};" for k, (_, t) in enumerate(turns))
+
+    return rewrites_late, marks_tenths, names_last_role
+
+
+def test_templates_that_depend_on_what_came_before(spark):
+    rewrites_late, marks_tenths, names_last_role = odd_templates()
+    turns = [("user" if k % 2 else "assistant", f"t{k}") for k in range(60)]
+    assert chat.rewrites_history(rewrites_late, turns)
+    assert "".join(chat.deltas(turns, marks_tenths)) == marks_tenths(turns)
+    assert "".join(chat.deltas(turns, names_last_role, 1)) == names_last_role(turns)
+    df = spark.createDataFrame([(1, k, *t) for k, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    none = lambda role, output: None
+    rows = chat.formatted(df, marks_tenths, mask=none).orderBy("ordinal").collect()
+    assert "".join(r.output for r in rows) == marks_tenths(turns) and [r.start for r in rows] == [len(marks_tenths(turns[:k])) for k in range(60)]
+    with pytest.raises(Exception, match="turn 40 changes what was rendered before"):
+        chat.formatted(df, rewrites_late, mask=none).collect()
+    for render in (marks_tenths, names_last_role):
+        with pytest.raises(chat.NotLocal):
+            chat.formatted(df, render, looks_back=0, mask=none)
+    with pytest.raises(chat.RewritesHistory):
+        chat.formatted(df, rewrites_late, looks_back=0, mask=none)
+    chat.check_local(names_last_role, 1)
+    chat.check_local(chat.template, 0)
+
+
 def test_op8(spark):
     got = queries.op8_ring(spark, D).toPandas()
     size = {i: (len(t.encode()) + 16, zlib.crc32(t.encode())) for i, t in corpus(spark).itertuples(index=False)}
