@@ -28,6 +28,11 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{n}`") for n in names))
 
 
+def by_place(df: DataFrame) -> DataFrame:
+    """df with its columns called c0, c1 ...: names with dots can't go to mapInArrow."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 

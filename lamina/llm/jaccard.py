@@ -236,8 +236,18 @@ def joined(docs: DataFrame) -> DataFrame:
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The documents of which doc_id is class_id: one row of each group, and all rows of null doc_ids."""
-    keep = joined(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    names = docs.columns
-    one = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*names).unionByName(docs.filter("doc_id is null").select(*names))
+    """One row of each group of near-duplicates, with all its columns, whatever those are called.
+
+    The classes are those of the texts' n-gram sets, so rows of one doc_id with unlike texts are in different groups, and each group keeps a
+    row: of those with the smallest doc_id (null ones last) one with the least hash of its text. Texts without words, null ones too, are alike
+    to none; of such rows all stay but repeats of the same doc_id and text.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.written(docs.select(F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("row")).select("row", F.xxhash64("row.doc_id", "row.text").alias("mark"), F.monotonically_increasing_id().alias("place")))
+    # each row by itself: its place stands for the document
+    classes = joined(rows.select(F.col("place").alias("doc_id"), F.col("row.text").alias("text"))).select(F.col("doc_id").alias("place"), "class_id")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("mark"), F.col("place"))
+    of = rows.select("place", F.col("row.doc_id").alias("doc_id"), "mark", F.length(F.regexp_replace(F.coalesce("row.text", F.lit("")), "[\\x20\\x09-\\x0D]+", "")).alias("chars")).join(classes, "place")
+    group = F.when(F.col("chars") == 0, F.col("mark")).otherwise(F.col("class_id"))
+    best = of.groupBy(group.alias("group"), (F.col("chars") == 0).alias("empty")).agg(F.min(rank).alias("best")).select(F.col("best.place").alias("place"))
+    return scratch.keep(rows.join(best, "place", "left_semi").select(*(F.col("row").getField(n).alias(n) for n in docs.columns)))

@@ -72,14 +72,14 @@ def sequences(cut: DataFrame, pad_id: int = 0, length: int = SEQUENCE) -> DataFr
     Takes pieces(..., keep_ids=True). A group holds at most ``length`` ids, whatever the data.
     """
 
-    def fill(pdf):
-        pdf = pdf.sort_values("offset")
-        ids = np.frombuffer(b"".join(pdf["ids"]), "<u4").astype(np.int64)
+    def fill(group: pa.Table) -> pa.Table:
+        group = group.sort_by("offset")
+        ids = np.frombuffer(b"".join(group["ids"].to_pylist()), "<u4").astype(np.int64)
         ids = np.concatenate([ids, np.full(length - len(ids), pad_id, np.int64)])
-        docs = [None if d != d else int(d) for d in pdf["doc_id"]]
-        return pdf.iloc[:1].assign(ids=[ids.tolist()], doc_ids=[docs], starts=[pdf["offset"].tolist()])[["sequence_id", "ids", "doc_ids", "starts"]]
+        one = {"sequence_id": group["sequence_id"][:1].to_pylist(), "ids": [ids.tolist()], "doc_ids": [group["doc_id"].to_pylist()], "starts": [group["offset"].to_pylist()]}
+        return pa.table(one, pa.schema([("sequence_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))]))
 
-    return cut.groupBy("sequence_id").applyInPandas(fill, "sequence_id long, ids array<int>, doc_ids array<long>, starts array<long>")
+    return cut.groupBy("sequence_id").applyInArrow(fill, "sequence_id long, ids array<int>, doc_ids array<long>, starts array<long>")
 
 
 def waste(cut: DataFrame, length: int = SEQUENCE) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import own_columns, texts_of
+from lamina.llm.common import by_place, own_columns, texts_of
 
 SAMPLE, SAMPLE_LINES, SEED = 2000, 60, 7
 #: Fixed values of the base rules.
@@ -177,17 +177,31 @@ def judge(text: str, field: LineField) -> tuple:
     return len(words), chars, len(data) - len(data.translate(None, SYMBOLS)), doubled, repeat, failed, not failed and share >= KEEP_SHARE, share
 
 
-def judged(docs: DataFrame, field: LineField, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of every document, then COLUMNS."""
+def judged(docs: DataFrame, field: LineField) -> DataFrame:
+    """doc_id, then COLUMNS, of every document."""
     emit, move = field.emit, field.move
-    rows = own_columns(docs, *keep, "text") if "text" not in keep else own_columns(docs, *keep)
 
     def run(batches):
         own = LineField(emit, move)
         for batch in batches:
             out = list(zip(*(judge(t, own) for t in texts_of(batch)))) or [()] * len(COLUMNS)
             kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(v, kinds[k]) for v, k in zip(out, COLUMNS.values()))], [*keep, *COLUMNS])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(v, kinds[k]) for v, k in zip(out, COLUMNS.values()))], ["doc_id", *COLUMNS])
 
-    types = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), *(f"{n} {k}" for n, k in COLUMNS.items())]))
+    return own_columns(docs, "doc_id", "text").mapInArrow(run, ", ".join(["doc_id long", *(f"{n} {k}" for n, k in COLUMNS.items())]))
+
+
+def kept(docs: DataFrame, field: LineField) -> DataFrame:
+    """The documents that the rules and the field keep, with all their columns, whatever those are called.
+
+    A null text fails the base rules and goes; a null doc_id is judged by its text alone; repeated rows stay or go together.
+    """
+    emit, move, names = field.emit, field.move, docs.columns
+    text = f"c{names.index('text')}"
+
+    def run(batches):
+        own = LineField(emit, move)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(batch.columns, names).filter(pa.array([judge(t, own)[6] for t in texts_of(batch, text)], pa.bool_()))
+
+    return by_place(docs).mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in docs.dtypes))

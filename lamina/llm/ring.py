@@ -127,7 +127,11 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """All columns of the documents, one folder a shard, in slot order within each file. Salted, so that a shard has several writers."""
+    """All columns of the documents, one folder a shard, in slot order within each file. Salted, so that a shard has several writers.
+
+    A document's row is one column, ``row``, beside slot, so that documents may have columns of any name.
+    """
     text = F.when(F.col("text").isNull(), F.xxhash64(F.lit("id"), "doc_id")).otherwise(F.xxhash64("text"))
-    placed = assign(docs.withColumn("place", text), shards)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("place"), F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("row"))
+    placed = assign(rows, shards).select("shard", "slot", "row")
     placed.repartition(F.col("shard"), F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

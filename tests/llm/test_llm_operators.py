@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lamina.llm import bpe, chat, jaccard, orcids, packing, passages, quality, queries, ring, secrets, topk
@@ -86,6 +87,8 @@ def test_packing_cases(spark):
     rows = cut.toPandas()
     assert rows["length"].sum() == 1 + 1 + 5001 + 3 + 3
     full = packing.sequences(cut, pad_id=7).orderBy("sequence_id").collect()
+    big = packing.sequences(packing.pieces(docs(spark, [None, "a"], [None, (1 << 60) + 1]), WORDS, keep_ids=True)).first()
+    assert big.doc_ids == [None, (1 << 60) + 1] or big.doc_ids == [(1 << 60) + 1, None]
     assert [len(r.ids) for r in full] == [2048] * 3 and full[-1].ids[-1] == 7 and full[0].doc_ids[1] is None
     assert packing.waste(cut).first().padding == 3 * 2048 - 5009
     assert packing.pieces(docs(spark, []), WORDS).count() == 0
@@ -252,7 +255,7 @@ def test_jaccard_large_group_and_cases(spark, monkeypatch):
         assert got[k] == (0, links)
     assert [got[k] for k in (120, 121, 122, 123, 124, None)] == [(120, 0), (121, 0), (122, 0), (123, 1), (123, 1), (None, 0)]
     assert jaccard.joined(docs(spark, [])).count() == 0
-    assert sorted((r.doc_id is None, r.doc_id) for r in jaccard.kept(docs(spark, ["a b", "a b", "a b", None], [2, 1, 1, None])).collect()) == [(False, 1), (True, None)]
+    assert sorted((r.doc_id is None, r.doc_id) for r in jaccard.kept(docs(spark, ["a b", "a b", "a b", None, None, ""], [2, 1, 1, None, None, None])).collect()) == [(False, 1), (True, None), (True, None)]
 
 
 def test_passages_against_brute_force(spark):
@@ -490,7 +493,8 @@ def test_ring_cases(spark, tmp_path):
     assert got[got["doc_id"] == 600][["size", "text_crc32"]].values.tolist() == [[16, 0]]
     before, after = ring.ring(7), ring.ring(8)
     assert set(zip(*before)) <= set(zip(*after))
-    ring.write_shards(df, str(tmp_path / "s"), 7)
+    ring.write_shards(df.withColumns({"shard": F.lit("x"), "place": F.lit("y"), "a.b": F.lit(2)}), str(tmp_path / "s"), 7)
+    assert spark.read.parquet(str(tmp_path / "s")).select("row.shard", "row.place", "row.`a.b`").distinct().collect() == [("x", "y", 2)]
     assert spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count().count() == 7
 
 
@@ -616,3 +620,34 @@ def test_pipeline_empty(spark, stages):
     df = spark.read.parquet(f"{D}/documents.parquet").limit(0)
     for name, f in stages.items():
         assert f(spark, df, D).count() == 0, name
+
+
+CLASHING = ["kept", "n_words", "spans", "_spans", "_id", "shard", "place", "row", "node", "version", "mark", "content_share", "a.b", "part"]
+
+
+def test_stages_take_any_columns_and_rows(spark, stages):
+    """Nulls, empty, repeated and long texts, equal doc_ids with unlike texts, and columns named like those that the stages use inside."""
+    rng = random.Random(6)
+    plain = spark.read.parquet(f"{D}/documents.parquet").limit(40).select("doc_id", "text", "lang", "source", "n_chars").collect()
+    fresh = lambda n: ". ".join(" ".join(f"word{rng.randrange(10**6)}" for _ in range(9)) for _ in range(n // 9))
+    a, b, c = fresh(90), fresh(90), fresh(120)
+    texts = [(1001, a), (1001, b), (1002, c), (1002, c), (1003, None), (None, None), (None, fresh(99)), (1004, ""), (1004, ""), (1005, " \n\t"), (1006, fresh(60_000)), (1007, f"{fresh(60)} {c} password=Hunter2xyzabcd"), (None, a)]
+    rows = [tuple(r) for r in plain] + [(i, t, "en", "s", len(t or "")) for i, t in texts]
+    df = spark.createDataFrame([(*r, *range(len(CLASHING))) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in CLASHING))
+    for name in list(stages)[:4]:
+        out = stages[name](spark, df, D)
+        assert out.columns == df.columns, name
+        got = out.collect()
+        assert all(list(r)[5:] == list(range(len(CLASHING))) for r in got), name
+        if name == "near_duplicates":
+            own = Counter((r.doc_id, r.text) for r in got if r.doc_id is None or r.doc_id > 1000)
+            assert own == Counter([(1001, a), (1001, b), (1002, c), (1003, None), (None, None), texts[6], (1004, ""), texts[9], texts[10], texts[11]])
+        if name == "quality_rules":
+            assert all(r.text and r.text.split() for r in got) and sum(r.doc_id == 1002 for r in got) in (0, 2)
+        if name == "substring_dedup":
+            cut = {r.text for r in got if r.doc_id == 1007}
+            assert len(got) == len(rows) - sum(r.doc_id is not None and r.doc_id < 1000 for r in df.collect()) + sum(r.doc_id is not None and r.doc_id < 1000 for r in got) and all(c not in t for t in cut)
+        if name == "secret_masks":
+            assert len(got) == len(rows) and "Hunter2xyzabcd" not in "".join(r.text or "" for r in got)
+    packed = stages["packing"](spark, df, D)
+    assert packed.agg(F.countDistinct(F.struct("doc_id", "doc_tokens"))).first()[0] > 40 and packed.filter("start = 0").count() == len(rows)
