@@ -10,40 +10,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lamina.llm import jaccard, packing, passages, quality, secrets
-from lamina.llm.common import written
+from lamina.llm.common import by_place, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the line labels keep. The labels' documents are read from the corpus."""
+    """Documents that the base rules and the line labels keep. The labels' documents are read from the corpus.
+
+    A null text goes, as it has no words; repeated rows stay or go together; see quality.kept().
+    """
     field = quality.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.judged(docs, field, tuple(docs.columns)).filter("kept").select(*(f"`{c}`" for c in docs.columns))
+    return quality.kept(docs, field)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
+    """One row of each group stays. Null and empty texts are alike to none, but repeats of one doc_id and text count once; see jaccard.kept()."""
     return jaccard.kept(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that another document keeps are cut out."""
+    """Passages that a document of a smaller doc_id has are cut out. Rows with a null doc_id or text stay; see passages.cut()."""
     return passages.cut(docs)
 
 
 def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each secret is replaced by a mark; no document goes."""
+    """Each secret is replaced by a mark; no document goes. A null text stays null; repeated rows are masked alike; texts of any length are scanned whole."""
     names, kinds = docs.columns, dict(docs.dtypes)
 
     def run(batches):
         for batch in batches:
-            texts = [t if t is None else secrets.masked(t) for t in batch.column("text").to_pylist()]
+            columns = dict(zip(names, batch.columns))
+            texts = [t if t is None else secrets.masked(t) for t in columns["text"].to_pylist()]
             new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
-            yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], names)
+            yield pa.RecordBatch.from_arrays([new.get(n, c) for n, c in columns.items()], names)
 
-    return docs.mapInArrow(run, ", ".join(f"`{n}` {'long' if n == 'n_chars' else kinds[n]}" for n in names))
+    return by_place(docs).mapInArrow(run, ", ".join(f"`{n}` {'long' if n == 'n_chars' else kinds[n]}" for n in names))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 ids."""
+    """Pieces of sequences of 2048 ids. A null text counts as empty and a null doc_id is kept; repeated rows are packed each; see packing.pieces()."""
     import public_tokenizers
 
     return packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
