@@ -136,7 +136,7 @@ def test_topk_annuli_of_files_in_any_order(spark):
     index = spark.createDataFrame([(0, float(dist[k]), int(k), x[k].tolist()) for k in order], "pivot int, dist double, vec_id long, v array<double>").coalesce(1)
     score = np.sort(x @ x.T, 1)[:, ::-1][:, :5]
     sent = spark.sparkContext.broadcast((np.arange(1000, 1060), x, topk._distances(x, np.zeros(60), pivots), np.zeros(60, int), score[:, 4].copy()))
-    got = topk._scan(index, sent, 5, norm2, False).toPandas()
+    got = topk._scan(index, sent, 5, norm2).toPandas()
     for k in range(60):
         assert sorted(got["score"][got["query_id"] == 1000 + k], reverse=True)[:5] == score[k].tolist()
 
@@ -155,7 +155,17 @@ def test_topk_cases(spark, monkeypatch):
     for k in range(0, 700, 50):
         best = sorted((-int(x[j] @ x[k]), j) for j in range(700) if j != k)[:5]
         want |= {(k, r + 1, j, -s) for r, (s, j) in enumerate(best)}
+    # vectors of another length are compared with their like
+    short = {1300: [3.0, 0.5], 1350: [1.0, 2.0], 1301: [2.0, 1.0]}
+    ints = {i: np.floor(np.array(v) * 256) for i, v in short.items()}
+    for i in (1300, 1350):
+        best = sorted((-int(ints[j] @ ints[i]), j) for j in short if j != i)
+        want |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(best)}
+    df = df.unionByName(spark.createDataFrame([(i, v, 9, 1.0) for i, v in short.items()], df.schema))
     assert {tuple(r) for r in topk.search(df).collect()} == want
+    # one vec_id on very many rows is one query
+    many = spark.range(3000).select(F.lit(50).cast("long").alias("vec_id"), F.array(F.col("id") / 100, F.lit(1.0)).alias("embedding")).unionByName(spark.createDataFrame([(51, [1.0, 1.0])], "vec_id long, embedding array<double>"))
+    assert topk.search(many).collect() == [(50, 1, 51, 256 * 256)]
     assert topk.search(df.limit(0)).count() == 0
     assert topk.search(df.filter("vec_id < 3")).count() == 2
 
