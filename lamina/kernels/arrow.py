@@ -47,11 +47,11 @@ def float_bytes(name: str) -> Column:
 
 
 def blake2_features(name: str) -> Column:
-    """The first eight bytes of BLAKE2b of each token, as a signed long."""
+    """The first eight bytes of BLAKE2b of each token (binary), as a signed long."""
 
     @F.pandas_udf("long")
     def run(tokens: pd.Series) -> pd.Series:
-        return tokens.map(lambda t: int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big", signed=True))
+        return tokens.map(lambda t: int.from_bytes(hashlib.blake2b(bytes(t), digest_size=8).digest(), "big", signed=True))
 
     return run(name)
 
@@ -82,14 +82,9 @@ def concat_hashes(df: DataFrame, group: str, order: str, text: str) -> DataFrame
 
 def restore_slices(df: DataFrame, group: str, key: str, text: str, block: int) -> DataFrame:
     """key, content: texts cut back out of their group's concatenation, which is held as blocks of bytes, so that it may be of any size."""
+    from lamina.bundles import blocks, slices
     from lamina.operators.relations import bundle_offsets
 
     files = df.select(group, key, F.encode(text, "UTF-8").alias("content")).withColumn("length", F.length("content").cast("long"))
-    placed = bundle_offsets(files, group, key, "length").withColumn("end", F.col("offset") + F.col("length"))
-    piece = placed.withColumn("b", F.explode(F.expr(f"sequence(offset div {block}, greatest(offset, end - 1) div {block})")))
-    a, z = F.greatest(F.col("offset"), F.col("b") * block), F.least(F.col("end"), (F.col("b") + 1) * block)
-    piece = piece.withColumn("part", F.substring("content", (a - F.col("offset") + 1).cast("int"), (z - a).cast("int"))).withColumn("a", a)
-    blocks = piece.groupBy(group, "b").agg(F.expr("listagg(part) within group (order by a)").alias("bytes"))
-    wanted = piece.select(group, key, "b", "a", z.alias("z"))
-    cut = wanted.join(blocks, [group, "b"]).withColumn("part", F.substring("bytes", (F.col("a") - F.col("b") * block + 1).cast("int"), (F.col("z") - F.col("a")).cast("int")))
-    return cut.groupBy(key).agg(F.expr("listagg(part) within group (order by a)").alias("content"))
+    placed = bundle_offsets(files, group, key, "length")
+    return slices(placed.drop("content"), blocks(placed, group, block), group, key, block).select(key, "content")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
@@ -244,13 +245,27 @@ def decode(blob: bytes, shared: Shared | None = None) -> bytes:
 
 
 def extract(data: bytes) -> bytes:
-    """The numbers of a text, lossy."""
-    nums = [int(m) for m in re.findall(r"-?[0-9]+", data.decode("utf-8", "ignore")) if len(m) <= MOST_DIGITS]
-    return frame(K.num_v1(K.ints_to_bytes(nums)), "split_text_nums", "num_v1", extract=True)
+    """The numbers of a text, lossy: a bundle of the numbers and what they were taken from."""
+    text = data.decode("utf-8", "ignore")
+    nums = [int(m) for m in re.findall(r"-?\d+", text)]
+    if all(abs(n) < 1 << 62 for n in nums):
+        raw, kind, codec = K.ints_to_bytes(nums), "NUMS", "num_v1"
+    else:  # the numbers' coding would not bring all of them back
+        raw, kind, codec = "\n".join(map(str, nums)).encode(), "TEXT", "zlib"
+    about = json.dumps({"extractor": "numbers_only", "count": len(nums), "src_bytes": len(data)}, separators=(",", ":")).encode()
+    streams = [Stream(STREAMS[kind], CODECS[codec], len(raw), K.compress(codec, raw)), Stream(STREAMS["META"], CODECS["raw"], len(about), about)]
+    return frame(bundle(streams), "bytes", "mbn", extract=True)
 
 
 def extracted(blob: bytes) -> list[int]:
     f = unframe(blob)
     if not f.extract:
         raise UsageError("not an extract")
-    return K.bytes_to_ints(K.un_num_v1(f.payload))
+    if f.codec == "num_v1":
+        return K.bytes_to_ints(K.un_num_v1(f.payload))
+    for s in unbundle(f.payload):
+        if s.stype == STREAMS["NUMS"]:
+            return K.bytes_to_ints(K.decompress(_CODEC[s.codec], s.comp, s.ulen))
+        if s.stype == STREAMS["TEXT"]:
+            return [int(n) for n in K.decompress(_CODEC[s.codec], s.comp, s.ulen).split()]
+    raise CorruptPayload("an extract without numbers")

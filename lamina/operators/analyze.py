@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +19,19 @@ def sampled(df: DataFrame, content: str, limit: int = ANALYZE_BYTES) -> DataFram
     return df.withColumns({"size": size, "analyzed_bytes": F.least(size, F.lit(limit)), "sampled": size > limit, "prefix": F.substring(content, 1, limit)})
 
 
-def bytes_of(df: DataFrame, key: str, chars: str) -> DataFrame:
-    """key, byte (as a character), cnt, from a column of Latin-1 characters."""
-    return df.select(key, F.explode(F.split(chars, "")).alias("byte")).filter("byte <> ''").groupBy(key, "byte").agg(F.count("*").alias("cnt"))
+def histogram(content):
+    """256 counters of each binary value, as an array."""
+
+    @F.pandas_udf("array<long>")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else np.bincount(np.frombuffer(v, "u1"), minlength=256).tolist())
+
+    return run(content)
+
+
+def bytes_of(df: DataFrame, key: str, content: str) -> DataFrame:
+    """key, byte (0 to 255), cnt of the bytes that occur."""
+    return df.select(key, F.posexplode(histogram(F.col(content))).alias("byte", "cnt")).filter("cnt > 0")
 
 
 def entropy(histogram: DataFrame, key: str) -> DataFrame:
@@ -38,42 +50,95 @@ def features(df: DataFrame, key: str, text: str) -> DataFrame:
     return found.groupBy(key, "token").agg(F.least(F.count("*"), F.lit(TERM_CAP)).alias("weight"))
 
 
-def simhash(weighted: DataFrame, key: str, hashed: str = "h") -> DataFrame:
-    """key, simhash64 as DECIMAL(20,0), of rows with a signed long ``hashed`` and ``weight``: each bit is set where votes are not negative."""
-    votes = weighted.select(key, "weight", hashed, F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
-    by_bit = votes.groupBy(key, "bit").agg(F.sum(F.when(F.expr(f"getbit({hashed}, bit)") == 1, F.col("weight")).otherwise(-F.col("weight"))).alias("v"))
-    bits = F.sum(F.when(F.col("v") >= 0, C.unsigned(F.expr("shiftleft(1L, bit)"))).otherwise(0))
-    return by_bit.groupBy(key).agg(bits.cast("decimal(20,0)").alias("simhash64"))
+#: Three counters of 21 bits in each long: a fingerprint's weights sum up to less than 2^21, see PREFIX.
+_COUNTER = 21
 
 
-def fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
-    """simhash64 of all texts; one without features has all bits set."""
-    hashed = features(df, key, text).withColumn("h", C.hash64(F.col("token")))
-    return df.select(key).join(simhash(hashed, key), key, "left").withColumn("simhash64", F.coalesce("simhash64", F.lit("18446744073709551615").cast("decimal(20,0)")))
+def simhash(weighted: DataFrame, key: str, hashed: str = "h") -> DataFrame:
+    """key, simhash64 as DECIMAL(20,0), of rows with a signed long ``hashed`` and ``weight``: each bit is set where votes are not negative.
+
+    A bit's votes are twice the weight of the hashes that have it less the whole weight. Each key's weights sum up to less than 2^21.
+    """
+    bit = lambda i: F.shiftrightunsigned(hashed, i).bitwiseAND(1)
+    sums = []
+    for i in range(0, 64, 3):
+        some = [F.shiftleft(bit(i + k), _COUNTER * k) for k in range(min(3, 64 - i))]
+        packed = some[0]
+        for x in some[1:]:
+            packed = packed.bitwiseOR(x)
+        sums.append(F.sum(F.col("weight") * packed).alias(f"s{i // 3}"))
+    totals = weighted.groupBy(key).agg(F.sum("weight").alias("w"), *sums)
+    value = F.lit(0).cast("long")
+    for i in range(64):
+        ones = F.shiftrightunsigned(f"s{i // 3}", _COUNTER * (i % 3)).bitwiseAND((1 << _COUNTER) - 1)
+        value = value.bitwiseOR(F.when(2 * ones >= F.col("w"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    return totals.select(key, C.unsigned(value).alias("simhash64"))
+
+
+#: What a fingerprint takes at most: bytes of a file, lines of a text without words, bytes of a binary.
+PREFIX, MOST_LINES, BINARY_BYTES = 1_000_000, 5000, 200_000
+#: Fixed value: what separates lines of text, beyond what separates those of bytes.
+TEXT_LINES = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+
+
+def marked(df: DataFrame, key: str, content: str) -> DataFrame:
+    """key, branch (empty, tokens, lines, bin4) and items (array<binary>): what the fingerprint of each file takes.
+
+    Texts give lower-case words of two characters or more, or else, without any, their lines that aren't blank; other files give
+    their bytes four at a time.
+    """
+    head = F.substring(content, 1, PREFIX)
+    chars = C.latin1_of(F.substring(content, 1, BINARY_BYTES))
+    text = F.lower(F.replace(F.make_valid_utf8(head.cast("string")), F.lit("\ufffd"), F.lit("")))
+    taken = df.select(key, (F.length(content) == 0).alias("none"), is_text(C.latin1_of(head)).alias("is_text"), text.alias("text"), chars.alias("chars"))
+    words = C.matches(F.col("text"), C.FEATURES, 0)
+    branch = F.when(F.col("none"), "empty").when(~F.col("is_text"), "bin4").when(F.col("text").rlike(C.FEATURES), "tokens").otherwise("lines")
+    rows = taken.withColumn("branch", branch)
+    of_lines = F.slice(F.filter(F.split("text", TEXT_LINES, -1), lambda x: x.rlike(r"(?U)[^\s\x1f]")), 1, MOST_LINES)
+    utf8 = lambda a: F.transform(a, lambda x: F.encode(x, "UTF-8"))
+    shingles = F.transform(C.matches(F.col("chars"), "(?s)(.{4})"), lambda x: F.encode(x, "ISO-8859-1"))
+    items = F.when(F.col("branch") == "tokens", utf8(words)).when(F.col("branch") == "lines", utf8(of_lines)).when(F.col("branch") == "bin4", shingles).otherwise(F.array().cast("array<binary>"))
+    return rows.select(key, "branch", items.alias("items"))
+
+
+def weighted(found: DataFrame, key: str) -> DataFrame:
+    """key, token (binary), weight of marked() rows: counts, 20 at most for words."""
+    counted = found.select(key, "branch", F.explode("items").alias("token")).groupBy(key, "branch", "token").agg(F.count("*").alias("n"))
+    return counted.select(key, "token", F.when(F.col("branch") == "tokens", F.least("n", F.lit(TERM_CAP))).otherwise(F.col("n")).alias("weight"))
+
+
+def fingerprints(df: DataFrame, key: str, content: str) -> DataFrame:
+    """simhash64 of each file (binary content): 0 of an empty one; one without features has all bits set."""
+    found = marked(df, key, content)
+    hashed = weighted(found, key).withColumn("h", C.hash64(F.col("token")))
+    none = F.when(F.col("branch") == "empty", F.lit("0")).otherwise(F.lit("18446744073709551615")).cast("decimal(20,0)")
+    return found.select(key, "branch").join(simhash(hashed, key), key, "left").select(key, "branch", F.coalesce("simhash64", none).alias("simhash64"))
 
 
 def bucket(simhash64, buckets: int):
     return F.pmod(simhash64, F.lit(buckets).cast("decimal(20,0)")).cast("int")
 
 
-def bucket_metrics(df: DataFrame, group: str, key: str, chars: str, files: int = METRIC_FILES, limit: int = METRIC_BYTES) -> DataFrame:
-    """entropy, null_ratio, printable_ratio, digit_ratio, newline_density of the first bytes of each group's largest files."""
-    sample = largest(df.withColumn("_size", F.length(chars)).filter("_size > 0"), group, files, "_size", key)
-    hist = sample.select(group, F.explode(F.split(F.substring(chars, 1, limit), "")).alias("byte")).filter("byte <> ''").groupBy(group, "byte").agg(F.count("*").alias("cnt"))
-    n = F.sum("cnt")
+def bucket_metrics(df: DataFrame, group: str, key: str, content: str, files: int = METRIC_FILES, limit: int = METRIC_BYTES) -> DataFrame:
+    """entropy, null_ratio, printable_ratio, digit_ratio, newline_density and utf8_ok of the first bytes of each group's largest files, side by side."""
+    sized = df.select(group, key, content).withColumn("_size", F.length(content)).filter("_size > 0")
+    sample = largest(sized, group, files, "_size", key).withColumn("chunk", F.substring(content, 1, limit))
+    valid = sample.groupBy(group).agg(F.is_valid_utf8(F.expr("listagg(chunk) within group (order by rank)").cast("string")).alias("utf8_ok"))  # files * limit bytes at most
+    hist = sample.select(group, F.posexplode(histogram(F.col("chunk"))).alias("byte", "cnt")).groupBy(group, "byte").agg(F.sum("cnt").alias("cnt")).filter("cnt > 0")
+    n, byte = F.sum("cnt"), F.col("byte")
     share = lambda cond: F.sum(F.when(cond, F.col("cnt")).otherwise(0)) / n
-    byte = F.col("byte")
-    return hist.groupBy(group).agg(
+    shares = hist.groupBy(group).agg(
         n.alias("n_bytes"),
         (F.log2(n) - F.sum(F.col("cnt") * F.log2("cnt")) / n).alias("entropy"),
-        share(byte == "\0").alias("null_ratio"),
-        share(byte.rlike(r"^[\x20-\x7E\t\n\r]$")).alias("printable_ratio"),
-        share(byte.rlike("^[0-9]$")).alias("digit_ratio"),
-        share(byte == "\n").alias("newline_density"),
+        share(byte == 0).alias("null_ratio"),
+        share(byte.between(32, 126) | byte.isin(9, 10, 13)).alias("printable_ratio"),
+        share(byte.between(48, 57)).alias("digit_ratio"),
+        share(byte == 10).alias("newline_density"),
     )
+    return shares.join(valid, group)
 
 
-def bucket_type(utf8_ok=None):
+def bucket_type():
     """Of bucket_metrics()' columns."""
-    utf8 = F.lit(True) if utf8_ok is None else utf8_ok
-    return F.when(F.col("null_ratio") > 0.01, "binaryish").when((F.col("entropy") > 6.6) & (F.col("printable_ratio") < 0.65) & ~utf8, "binaryish").when(F.col("digit_ratio") >= 0.10, "mixed_text_nums").otherwise("textish")
+    noise = (F.col("entropy") > 6.6) & (F.col("printable_ratio") < 0.65) & ~F.col("utf8_ok")
+    return F.when(F.col("null_ratio") > 0.01, "binaryish").when(noise, "binaryish").when(F.col("digit_ratio") >= 0.10, "mixed_text_nums").otherwise("textish")

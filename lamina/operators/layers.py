@@ -29,8 +29,10 @@ def dictionary(df: DataFrame, key: str | list[str], token: str, pos: str) -> Dat
 
 
 def encoded(df: DataFrame, key: str, token: str, pos: str) -> DataFrame:
-    """The rows of df with token_id."""
-    return df.join(dictionary(df, key, token, pos).select(key, token, "token_id"), [key, token])
+    """The rows of df with token_id. One shuffle: all of a file's rows are sorted where they are."""
+    first = F.min(pos).over(Window.partitionBy(key, token))
+    rows = df.repartition(key).withColumn("_first", first)
+    return rows.withColumn("token_id", (F.dense_rank().over(Window.partitionBy(key).orderBy("_first")) - 1).cast("long")).drop("_first")
 
 
 def decoded(ids: DataFrame, vocabulary: DataFrame, key: str, pos: str, token: str = "token") -> DataFrame:

@@ -45,9 +45,9 @@ def tree_diff(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def grouped_savings(files: DataFrame, sets: list[list[str]], columns: list[str]) -> DataFrame:
     """files, in_bytes, out_bytes, ratio for each of the grouping sets in one pass; ``columns`` that a set lacks are null."""
-    files.createOrReplaceTempView("_files")
-    text = ", ".join(f"({', '.join(s)})" for s in sets)
-    return files.sparkSession.sql(f"select grouping_id({', '.join(columns)}) as gid, {', '.join(columns)}, count(*) as files, sum(in_bytes) as in_bytes, sum(out_bytes) as out_bytes, round(case when sum(in_bytes) = 0 then 0 else sum(out_bytes) / sum(in_bytes) end, 6) as ratio from _files group by grouping sets ({text})")
+    ratio = F.when(F.sum("in_bytes") == 0, F.lit(0.0)).otherwise(F.sum("out_bytes") / F.sum("in_bytes"))
+    grouped = files.groupingSets([[F.col(c) for c in s] for s in sets], *(F.col(c) for c in columns))
+    return grouped.agg(F.grouping_id(*columns).alias("gid"), F.count("*").alias("files"), F.sum("in_bytes").alias("in_bytes"), F.sum("out_bytes").alias("out_bytes"), F.round(ratio, 6).alias("ratio")).select("gid", *columns, "files", "in_bytes", "out_bytes", "ratio")
 
 
 def top_saved(grouped: DataFrame, key: str, n: int) -> DataFrame:
@@ -64,10 +64,11 @@ def plan_scores(trials: DataFrame, penalty: str = "penalty") -> DataFrame:
 
 
 def runner_up(scored: DataFrame) -> DataFrame:
-    """bucket, winner, runner_up: of the other plans the one that differs most (3: layer, 1: codec, 0), earliest first."""
-    best = scored.filter("pos = 1").select("bucket", F.col("plan").alias("winner"), F.col("layer").alias("wl"), F.col("codec").alias("wc"))
+    """bucket, winner, runner_up: of the other plans the one that differs most (3: layer, 2: stream codecs, 1: codec, 0), earliest first. A plan is layer:codec, then its stream codecs."""
+    streams = F.regexp_replace("plan", "^[^:]*:[^:]*:?", "")
+    best = scored.filter("pos = 1").select("bucket", F.col("plan").alias("winner"), F.col("layer").alias("wl"), F.col("codec").alias("wc"), streams.alias("ws"))
     rest = scored.filter("pos > 1").join(best, "bucket")
-    rank = F.when(F.col("layer") != F.col("wl"), 3).when(F.col("codec") != F.col("wc"), 1).otherwise(0)
+    rank = F.when(F.col("layer") != F.col("wl"), 3).when(streams != F.col("ws"), 2).when(F.col("codec") != F.col("wc"), 1).otherwise(0)
     return rest.groupBy("bucket", "winner").agg(F.max_by("plan", F.struct(rank, -F.col("pos"))).alias("runner_up"))
 
 
@@ -76,3 +77,13 @@ def top_db(history: DataFrame, keep: int) -> DataFrame:
     merged = history.groupBy("bucket_type", "key").agg(F.min("score").alias("score"), F.sum("seen").alias("seen"))
     w = Window.partitionBy("bucket_type").orderBy("score", "key")
     return merged.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep)
+
+
+def remembered(history: DataFrame, top_k: int, keep: int) -> DataFrame:
+    """bucket_type, plan: of the ``keep`` best remembered plans of each type the best, and if top_k is 2 or more the one that differs most from it."""
+    best = history.withColumn("pos", F.row_number().over(Window.partitionBy("bucket_type").orderBy("score", "plan"))).filter(F.col("pos") <= keep)
+    ranked = best.withColumnRenamed("bucket_type", "bucket")
+    first = best.filter("pos = 1").select("bucket_type", "plan")
+    if top_k < 2:
+        return first
+    return first.unionByName(runner_up(ranked).select(F.col("bucket").alias("bucket_type"), F.col("runner_up").alias("plan")))

@@ -269,17 +269,21 @@ def _chars(spark, d, *more):
     return docs(spark, d, *more).withColumn("chars", C.latin1(F.col("text")))
 
 
+def _content(spark, d, *more):
+    return docs(spark, d, *more).withColumn("content", F.encode("text", "UTF-8"))
+
+
 _BYTES = f"{_HEX}, c AS (SELECT doc_id, x, count(*) AS cnt FROM (SELECT doc_id, unnest(b) AS x FROM h) GROUP BY 1, 2)"
 
 
 @query(f"WITH {_BYTES} SELECT doc_id, x AS byte, cnt FROM c")
 def byte_histogram(spark, d):
-    return analyze.bytes_of(_chars(spark, d), "doc_id", "chars").select("doc_id", F.hex(F.encode("byte", "ISO-8859-1")).alias("byte"), "cnt")
+    return analyze.bytes_of(_content(spark, d), "doc_id", "content").select("doc_id", F.format_string("%02X", "byte").alias("byte"), "cnt")
 
 
 @query(f"WITH {_BYTES} SELECT doc_id, sum(cnt)::BIGINT AS n_bytes, round(log2(sum(cnt)) - sum(cnt * log2(cnt)) / sum(cnt), 6) AS entropy FROM c GROUP BY 1")
 def shannon_entropy(spark, d):
-    return analyze.entropy(analyze.bytes_of(_chars(spark, d), "doc_id", "chars"), "doc_id").select("doc_id", "n_bytes", F.round("entropy", 6).alias("entropy"))
+    return analyze.entropy(analyze.bytes_of(_content(spark, d), "doc_id", "content"), "doc_id").select("doc_id", "n_bytes", F.round("entropy", 6).alias("entropy"))
 
 
 _METRICS = """s AS (SELECT source, hex(encode(text)) AS hx, row_number() OVER (PARTITION BY source ORDER BY octet_length(encode(text)) DESC, doc_id) AS r FROM documents WHERE text <> ''),
@@ -290,12 +294,12 @@ _FIVE = ("entropy", "null_ratio", "printable_ratio", "digit_ratio", "newline_den
 
 @query(f"WITH {_METRICS} SELECT source, n_bytes, {', '.join(f'round({c}, 6) AS {c}' for c in _FIVE)} FROM m")
 def bucket_metrics(spark, d):
-    return analyze.bucket_metrics(_chars(spark, d, "source"), "source", "doc_id", "chars").select("source", "n_bytes", *(F.round(c, 6).alias(c) for c in _FIVE))
+    return analyze.bucket_metrics(_content(spark, d, "source"), "source", "doc_id", "content").select("source", "n_bytes", *(F.round(c, 6).alias(c) for c in _FIVE))
 
 
 @query(f"WITH {_METRICS} SELECT source, CASE WHEN null_ratio > 0.01 THEN 'binaryish' WHEN digit_ratio >= 0.10 THEN 'mixed_text_nums' ELSE 'textish' END AS bucket_type FROM m")
 def bucket_type(spark, d):
-    return analyze.bucket_metrics(_chars(spark, d, "source"), "source", "doc_id", "chars").select("source", analyze.bucket_type().alias("bucket_type"))
+    return analyze.bucket_metrics(_content(spark, d, "source"), "source", "doc_id", "content").select("source", analyze.bucket_type().alias("bucket_type"))
 
 
 @query(f"WITH {_HEX} SELECT doc_id, CASE WHEN len(b) = 0 THEN true ELSE len(list_filter(b, lambda x: x IN ('09', '0A', '0D') OR x BETWEEN '20' AND '7E')) / len(b) >= 0.85 END AS is_text FROM h")
@@ -317,18 +321,47 @@ def capped_tf(spark, d):
     return analyze.features(docs(spark, d), "doc_id", "text").select("doc_id", "token", F.col("weight").cast("long").alias("weight"))
 
 
-_SIM = f"""{_TF}, n AS (SELECT doc_id, w, ('0x' || left(md5(tok), 16))::UBIGINT AS h FROM f), v AS (SELECT doc_id, bit, sum(CASE WHEN (h >> bit) & 1 = 1 THEN w ELSE -w END) AS v FROM n, (SELECT unnest(range(64))::UBIGINT AS bit) GROUP BY 1, 2),
- s AS (SELECT documents.doc_id, coalesce(x, 18446744073709551615::HUGEINT) AS sim FROM documents LEFT JOIN (SELECT doc_id, sum(CASE WHEN v >= 0 THEN (1::UBIGINT << bit)::HUGEINT ELSE 0 END)::HUGEINT AS x FROM v GROUP BY 1) USING (doc_id))"""
+_LINES = "regexp_split_to_array(t, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]')"
+
+
+def _fingerprints(source: str) -> str:
+    """source: SQL of doc_id, t (text, or null for bytes that are none) and hx (the bytes in hex)."""
+    return f"""src AS ({source}), p AS (SELECT doc_id, t, left(hx, 400000) AS hx, regexp_extract_all(left(hx, 2000000), '..') AS b FROM src),
+ k AS (SELECT doc_id, t, hx, CASE WHEN len(b) = 0 THEN 'empty' WHEN len(list_filter(b, lambda x: x IN ('09', '0A', '0D') OR x BETWEEN '20' AND '7E')) / len(b) < 0.85 THEN 'bin4' WHEN regexp_matches(lower(t), '[A-Za-z0-9_]{{2,}}') THEN 'tokens' ELSE 'lines' END AS branch FROM p),
+ i AS (SELECT doc_id, branch, unnest(list_transform(regexp_extract_all(lower(t), '[A-Za-z0-9_]{{2,}}'), lambda x: md5(x))) AS m FROM k WHERE branch = 'tokens'
+  UNION ALL SELECT doc_id, branch, unnest(list_transform(list_filter({_LINES.replace("(t,", "(lower(t),")}, lambda x: regexp_matches(x, '[^\\s\\x0b\\x1f]'))[1:5000], lambda x: md5(x))) FROM k WHERE branch = 'lines'
+  UNION ALL SELECT doc_id, branch, unnest(list_transform(regexp_extract_all(hx, '.{{8}}'), lambda x: md5(unhex(x)))) FROM k WHERE branch = 'bin4'),
+ n AS (SELECT doc_id, CASE WHEN branch = 'tokens' THEN least(count(*), 20) ELSE count(*) END AS w, ('0x' || left(m, 16))::UBIGINT AS h FROM i GROUP BY doc_id, branch, m),
+ v AS (SELECT doc_id, bit, sum(CASE WHEN (h >> bit) & 1 = 1 THEN w ELSE -w END) AS v FROM n, (SELECT unnest(range(64))::UBIGINT AS bit) GROUP BY 1, 2),
+ s AS (SELECT k.doc_id, branch, CASE WHEN branch = 'empty' THEN 0::HUGEINT ELSE coalesce(x, 18446744073709551615::HUGEINT) END AS sim FROM k LEFT JOIN (SELECT doc_id, sum(CASE WHEN v >= 0 THEN (1::UBIGINT << bit)::HUGEINT ELSE 0 END)::HUGEINT AS x FROM v GROUP BY 1) USING (doc_id))"""
+
+
+_SIM = _fingerprints("SELECT doc_id, text AS t, hex(encode(text)) AS hx FROM documents")
 
 
 @query(f"WITH {_SIM} SELECT doc_id, sim::VARCHAR AS simhash64 FROM s")
 def simhash64_md5(spark, d):
-    return analyze.fingerprints(docs(spark, d), "doc_id", "text").select("doc_id", F.col("simhash64").cast("string").alias("simhash64"))
+    return analyze.fingerprints(_content(spark, d), "doc_id", "content").select("doc_id", F.col("simhash64").cast("string").alias("simhash64"))
 
 
 @query(f"WITH {_SIM} SELECT doc_id, (sim % 16)::INT AS bucket FROM s")
 def bucket_assign(spark, d):
-    return analyze.fingerprints(docs(spark, d), "doc_id", "text").select("doc_id", analyze.bucket(F.col("simhash64"), 16).alias("bucket"))
+    return analyze.fingerprints(_content(spark, d), "doc_id", "content").select("doc_id", analyze.bucket(F.col("simhash64"), 16).alias("bucket"))
+
+
+@query("WITH " + _fingerprints("SELECT doc_id, x AS t, hex(encode(x)) AS hx FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '' ELSE regexp_replace(text, '[^\\r\\n]', '-', 'g') || chr(10) || repeat('+', (doc_id % 7)::INT) END AS x FROM documents)") + " SELECT doc_id, branch, sim::VARCHAR AS simhash64 FROM s")
+def line_features(spark, d):
+    """Fingerprints of texts without words, which are by lines, and of empty ones."""
+    bare = F.concat(F.regexp_replace("text", r"[^\r\n]", "-"), F.lit("\n"), F.expr("repeat('+', int(doc_id % 7))"))
+    made = docs(spark, d).select("doc_id", F.encode(F.when(F.col("doc_id") % 10 == 0, "").otherwise(bare), "UTF-8").alias("content"))
+    return analyze.fingerprints(made, "doc_id", "content").withColumn("simhash64", F.col("simhash64").cast("string"))
+
+
+@query("WITH " + _fingerprints("SELECT doc_id, NULL::VARCHAR AS t, translate(hex(encode(text)), '0123456789ABCDEF', 'FEDCBA9876543210') AS hx FROM documents") + " SELECT doc_id, branch, sim::VARCHAR AS simhash64 FROM s")
+def byte_shingles(spark, d):
+    """Fingerprints of binaries, made of the documents by turning over all bits: four bytes at a time."""
+    turned = F.unhex(F.translate(F.hex(F.encode("text", "UTF-8")), "0123456789ABCDEF", "FEDCBA9876543210"))
+    return analyze.fingerprints(docs(spark, d).select("doc_id", turned.alias("content")), "doc_id", "content").withColumn("simhash64", F.col("simhash64").cast("string"))
 
 
 # bundles and archives
@@ -350,16 +383,8 @@ def mixed_partition(spark, d):
     return text.unionByName(binary).select("doc_id", F.when(is_text, "text").otherwise("bin").alias("kind"), F.length("content").cast("long").alias("length"))
 
 
-@query("SELECT source, sha256(string_agg(text, '' ORDER BY doc_id)) AS concat_sha256, sum(octet_length(encode(text)))::BIGINT AS n_bytes FROM documents WHERE n_chars < 2000 GROUP BY 1")
-def concat_sha256(spark, d):
-    from lamina.kernels.arrow import concat_hashes
-
-    return concat_hashes(docs(spark, d, "source", "n_chars").filter("n_chars < 2000"), "source", "doc_id", "text")
-
-
 @query("SELECT source, sha256(string_agg(text, '' ORDER BY doc_id)) AS concat_sha256, sum(octet_length(encode(text)))::BIGINT AS n_bytes FROM documents GROUP BY 1")
-def concat_sha256_all(spark, d):
-    """As concat_sha256, whose SQL takes documents below 2000 characters only, but over all documents."""
+def concat_sha256(spark, d):
     from lamina.kernels.arrow import concat_hashes
 
     return concat_hashes(docs(spark, d, "source"), "source", "doc_id", "text")
@@ -467,12 +492,12 @@ def top_db_upsert(spark, d):
     return relations.top_db(history, 3)
 
 
-@query("SELECT o_custkey, len(l)::BIGINT AS n, list_sum(list_transform(l, lambda x: x::BIGINT))::BIGINT AS total, array_to_string(l[1:200], ',') AS shown FROM (SELECT o_custkey, regexp_extract_all(text, '-?[0-9]+') AS l FROM (" + INVOICES + "))")
+@query("SELECT o_custkey, len(l)::BIGINT AS n, list_sum(list_transform(l, lambda x: x::HUGEINT))::VARCHAR AS total, array_to_string(l[1:200], ',') AS shown FROM (SELECT o_custkey, regexp_extract_all(text, '-?[0-9]+') AS l FROM (" + INVOICES + "))")
 def extract_numbers(spark, d):
     nums = C.matches(F.col("text"), C.PLAIN_NUMBERS, 0)
     t = invoices(spark, d).select("o_custkey", nums.alias("l"))
-    total = F.aggregate("l", F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))
-    return t.select("o_custkey", F.size("l").cast("long").alias("n"), total.alias("total"), F.array_join(F.slice("l", 1, 200), ",").alias("shown"))
+    total = F.aggregate("l", F.lit(0).cast("decimal(38,0)"), lambda s, x: (s + x.try_cast("decimal(38,0)")).cast("decimal(38,0)"))
+    return t.select("o_custkey", F.size("l").cast("long").alias("n"), total.cast("string").alias("total"), F.array_join(F.slice("l", 1, 200), ",").alias("shown"))
 
 
 @query(f"WITH {_FILES} SELECT doc_id, CASE WHEN in_bytes = 0 THEN 0 ELSE round(out_bytes / in_bytes, 6) END AS ratio, CASE WHEN in_bytes = 0 THEN 0 ELSE round(8 * out_bytes / in_bytes, 6) END AS bits_per_symbol FROM f")

@@ -9,8 +9,9 @@ from pyspark.sql.types import BinaryType
 
 from lamina.kernels import codecs, containers
 from lamina.operators.ordering import largest
-from lamina.operators.relations import plan_scores
-from lamina.specs import Plan
+from lamina.operators.relations import plan_scores, remembered, runner_up
+from lamina.specs import TYPES, DirectorySpec, Plan
+from lamina.storage import written
 
 #: CPU penalties of layers (others: OTHER) and of the tight codec and numeric streams.
 LAYER_PENALTY, OTHER, TIGHT, NUMERIC = {"bytes": 0.0, "vc0": 0.01, "split_text_nums": 0.02, "tpl_lines_v0": 0.03, "tpl_lines_shared_v0": 0.03}, 0.015, 0.005, 0.005
@@ -30,10 +31,31 @@ def bootstrap(kind: str) -> list[Plan]:
     return [Plan("tpl_lines_shared_v0", codec), Plan("tpl_lines_v0", codec)]
 
 
-def table(spark, pools: dict[str, list[Plan]] | None = None) -> DataFrame:
-    """bucket_type, plan, layer, codec, streams, penalty. A few rows, from the specification."""
-    rows = [(kind, p.key, p.layer, p.codec, p.streams or {}, penalty(p)) for kind in ("binaryish", "mixed_text_nums", "textish") for p in (pools or {}).get(kind) or bootstrap(kind)]
-    return spark.createDataFrame(rows, "bucket_type string, plan string, layer string, codec string, streams map<string,string>, penalty double")
+def broad(kind: str) -> list[Plan]:
+    """All that is worth a trial when memory is to be refreshed."""
+    layers = ("bytes",) if kind == "binaryish" else ("bytes", "vc0", "split_text_nums", "tpl_lines_shared_v0", "tpl_lines_v0")
+    own = codecs.resolve("zstd_tight")
+    both = {codec: None for codec in ("zlib", own)}
+    return [Plan(layer, codec) for layer in layers for codec in (both if layer in ("bytes", "vc0") else (own,))]
+
+
+def table(spark, spec: DirectorySpec, history: DataFrame | None = None) -> DataFrame:
+    """bucket_type, plan, layer, codec, streams, penalty, ord: the candidates of each type. A few rows, from the specification, from memory, or those to begin with.
+
+    A type's pool comes first; then, with refresh_top, all that is worth a trial, else what is remembered. Without autopick each type has its first.
+    """
+    known: dict[str, list[Plan]] = {}
+    if history is not None and not spec.refresh_top:
+        top = remembered(history, spec.top_k, spec.top_db_max).join(history.select("bucket_type", "plan", "layer", "codec", "streams"), ["bucket_type", "plan"]).dropDuplicates(["bucket_type", "plan"])
+        for r in sorted(top.collect(), key=lambda r: (r.bucket_type, r.plan)):  # top_k a type
+            known.setdefault(r.bucket_type, []).append(Plan(r.layer, r.codec, dict(r.streams or {})))
+    rows = []
+    for kind in TYPES:
+        plans = spec.pools.get(kind) or (broad(kind) if spec.refresh_top else known.get(kind)) or bootstrap(kind)
+        unique = {p.key: p for p in reversed(plans)}
+        ordered = sorted(unique.values(), key=lambda p: plans.index(p))
+        rows += [(kind, p.key, p.layer, p.codec, p.streams or {}, penalty(p), k) for k, p in enumerate(ordered[: None if spec.autopick else 1])]
+    return spark.createDataFrame(rows, "bucket_type string, plan string, layer string, codec string, streams map<string,string>, penalty double, ord int")
 
 
 @F.pandas_udf(BinaryType())
@@ -55,15 +77,34 @@ def decoded(blob: pd.Series, numbers: pd.Series, templates: pd.Series) -> pd.Ser
     return pd.Series(out)
 
 
-def choose(files: DataFrame, plans: DataFrame, sample_n: int) -> DataFrame:
-    """files: rel, bucket, bucket_type, content. -> bucket, plan, layer, codec, streams, ratio, score of each bucket's best plan."""
-    sample = largest(files.withColumn("_size", F.length("content")).filter("_size > 0"), "bucket", sample_n, "_size", "rel")
-    none = F.lit(None)
-    trials = sample.join(F.broadcast(plans), "bucket_type").withColumn("blob", encoded("content", "layer", "codec", "streams", none.cast("array<long>"), none.cast("binary")))
-    scored = plan_scores(trials.select("bucket", "plan", "layer", "codec", F.length("content").alias("in_bytes"), F.length("blob").alias("out_bytes"), "penalty"))
-    best = scored.filter("pos = 1").select("bucket", "plan", "ratio", "score")
+@F.pandas_udf(BinaryType())
+def decoded_or_null(blob: pd.Series, numbers: pd.Series, templates: pd.Series) -> pd.Series:
+    """As decoded(), with null for what can't be decoded."""
+
+    def one(b, n, t):
+        try:
+            return containers.decode(bytes(b), containers.Shared(None if n is None or not len(n) else [int(x) for x in n], codecs.untemplate_resource(bytes(t)) if t is not None else []))
+        except Exception:  # whatever damaged bytes lead to
+            return None
+
+    return pd.Series([one(*x) for x in zip(blob, numbers, templates)])
+
+
+def choose(files: DataFrame, plans: DataFrame, sample_n: int, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """files: rel, bucket, bucket_type, content; shared: bucket, numbers, templates. -> each bucket's plan, and the scores of all trials.
+
+    The first: bucket, bucket_type, plan, layer, codec, streams, ratio, score, runner_up. Buckets with one candidate only aren't tried.
+    """
+    several = plans.groupBy("bucket_type").agg(F.count("*").alias("n")).filter("n > 1").select("bucket_type")
+    sized = files.withColumn("_size", F.length("content")).filter("_size > 0").join(F.broadcast(several), "bucket_type")
+    sample = largest(sized, "bucket", sample_n, "_size", "rel")
+    tried = sample.join(F.broadcast(plans), "bucket_type").join(shared, "bucket", "left")
+    templates = F.when(F.col("layer") == "tpl_lines_shared_v0", F.col("templates"))
+    trials = tried.withColumn("blob", encoded("content", "layer", "codec", "streams", "numbers", templates))
+    scored = written(plan_scores(trials.select("bucket", "plan", "layer", "codec", F.length("content").alias("in_bytes"), F.length("blob").alias("out_bytes"), "penalty")))
+    best = scored.filter("pos = 1").select("bucket", "plan", "ratio", "score").join(runner_up(scored).select("bucket", "runner_up"), "bucket", "left")
     detail = plans.select("plan", "layer", "codec", "streams").dropDuplicates(["plan"])
     kinds = files.select("bucket", "bucket_type").distinct()
-    first = plans.groupBy("bucket_type").agg(F.min("plan").alias("fallback"))  # buckets of empty files only
+    first = plans.groupBy("bucket_type").agg(F.min_by("plan", "ord").alias("fallback"))  # buckets that weren't tried
     chosen = kinds.join(best, "bucket", "left").join(F.broadcast(first), "bucket_type").withColumn("plan", F.coalesce("plan", "fallback")).drop("fallback")
-    return chosen.join(F.broadcast(detail), "plan").select("bucket", "bucket_type", "plan", "layer", "codec", "streams", "ratio", "score")
+    return chosen.join(F.broadcast(detail), "plan").select("bucket", "bucket_type", "plan", "layer", "codec", "streams", "ratio", "score", "runner_up"), scored

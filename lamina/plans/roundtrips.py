@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lamina.functions import columns as C
 from lamina.kernels import arrow
 from lamina.operators import analyze
 from lamina.plans.catalogue import docs
@@ -56,15 +55,14 @@ for _name, _write in _old_queries().items():
 
 def simhash64_blake2b(spark, d):
     """Each distinct token is hashed once."""
-    f = analyze.features(docs(spark, d), "doc_id", "text")
+    f = analyze.weighted(analyze.marked(docs(spark, d).withColumn("content", F.encode("text", "UTF-8")), "doc_id", "content"), "doc_id")
     hashed = f.select("token").distinct().select("token", arrow.blake2_features("token").alias("h"))
     return analyze.simhash(f.join(hashed, "token"), "doc_id").select("doc_id", F.col("simhash64").cast("string").alias("simhash64"))
 
 
 def huffman_total_bits(spark, d):
-    chars = docs(spark, d).withColumn("chars", C.latin1(F.col("text")))
-    hist = analyze.bytes_of(chars, "doc_id", "chars").groupBy("doc_id").agg(F.collect_list("cnt").alias("counts"))  # 256 counts at most
-    return hist.select("doc_id", arrow.huffman_total()("counts").alias("bits"))
+    counts = F.filter(analyze.histogram(F.encode("text", "UTF-8")), lambda n: n > 0)
+    return docs(spark, d).select("doc_id", arrow.huffman_total()(counts).alias("bits"))
 
 
 def _packed(spark, d):
@@ -91,6 +89,53 @@ def archive_verify(spark, d):
     return manifest.join(found, "rel", "left").select("rel", F.col("in_size"), F.coalesce("violation", F.lit("")).alias("violation"))
 
 
+def _bundled(spark, d, mode):
+    from lamina import bundles
+    from lamina.storage import shared_folder
+
+    files = docs(spark, d).select(F.concat(F.lit("t/"), F.col("doc_id").cast("string")).alias("rel"), F.encode("text", "UTF-8").alias("content"))
+    if mode == "mixed":
+        binary = spark.read.parquet(f"{d}/embeddings.parquet").select(F.concat(F.lit("v/"), F.col("vec_id").cast("string")).alias("rel"), F.concat(F.lit(b"\0\xff"), arrow.float_bytes("embedding")).alias("content"))
+        files = files.unionByName(binary)
+    out = shared_folder(spark)
+    bundles.pack(spark, files, out, mode, block=1 << 18)
+    return out, files, bundles
+
+
+def single_bundle_roundtrip(spark, d):
+    """Each document's place in the concatenation, and whether its content comes back from the blocks."""
+    out, _, bundles = _bundled(spark, d, "single")
+    return bundles.unpack(spark, out).select("rel", "offset", "length", "sha256", (F.sha2("content", 256) == F.col("sha256")).alias("restored"))
+
+
+def mixed_bundle_roundtrip(spark, d):
+    """Texts and vectors, each in the concatenation of their kind. SQL has no bytes of floats, so their hashes are compared with the files'."""
+    out, files, bundles = _bundled(spark, d, "mixed")
+    given = files.select("rel", F.sha2("content", 256).alias("given"))
+    return bundles.unpack(spark, out).join(given, "rel").select("kind", "rel", "offset", "length", (F.sha2("content", 256) == F.col("given")).alias("restored"))
+
+
+def bundle_index_check(spark, d):
+    """Index records of which some are damaged, each in one way, and the reasons why they are refused."""
+    from lamina import bundles
+
+    k, text = F.col("doc_id") % 8, F.encode("text", "UTF-8")
+    rows = docs(spark, d).select("doc_id", F.lit("text").alias("kind"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("rel"), F.length(text).cast("string").alias("length"), F.sha2(text, 256).alias("sha256"))
+    broken = rows.filter(k > 0).withColumn("offset", F.when(k == 2, "x").when(k == 3, "-4").otherwise("0"))
+    broken = broken.withColumns({"kind": F.when(k == 1, "other").otherwise("text"), "sha256": F.when(k == 4, "zz").otherwise(F.col("sha256")), "rel": F.when(k == 5, F.concat(F.lit("../"), "rel")).when(k == 6, F.concat(F.lit("/"), "rel")).otherwise(F.col("rel"))}).filter(k < 7)
+    sound = rows.filter(k == 0).withColumn("n", F.col("length").cast("long"))
+    from lamina.operators.relations import bundle_offsets
+
+    sound = bundle_offsets(sound, "kind", "rel", "n").withColumn("offset", (F.col("offset") + F.when(F.col("doc_id") % 32 == 8, 1).otherwise(0)).cast("string"))
+    return bundles.index_violations(broken.unionByName(sound.drop("n")).select("kind", "rel", "offset", "length", "sha256"))
+
+
+SQL["single_bundle_roundtrip"] = """SELECT 't/' || doc_id AS rel, coalesce(sum(octet_length(encode(text))) OVER (ORDER BY 't/' || doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset", octet_length(encode(text))::BIGINT AS length, sha256(encode(text)) AS sha256, true AS restored FROM documents"""
+SQL["mixed_bundle_roundtrip"] = """WITH f AS (SELECT 'text' AS kind, 't/' || doc_id AS rel, octet_length(encode(text))::BIGINT AS length FROM documents UNION ALL SELECT 'bin', 'v/' || vec_id, (2 + 4 * len(embedding))::BIGINT FROM embeddings)
+ SELECT kind, rel, coalesce(sum(length) OVER (PARTITION BY kind ORDER BY rel ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset", length, true AS restored FROM f"""
+SQL["bundle_index_check"] = """WITH r AS (SELECT doc_id, lpad(doc_id::VARCHAR, 9, '0') AS rel FROM documents)
+ SELECT CASE doc_id % 8 WHEN 5 THEN '../' || rel WHEN 6 THEN '/' || rel ELSE rel END AS rel, CASE doc_id % 8 WHEN 1 THEN 'no kind' WHEN 2 THEN 'not a number' WHEN 3 THEN 'negative' WHEN 4 THEN 'no hash' WHEN 0 THEN 'not behind the file before it' ELSE 'rel leaves the tree' END AS reason FROM r WHERE doc_id % 8 BETWEEN 1 AND 6 OR doc_id % 32 = 8"""
+QUERIES |= {"single_bundle_roundtrip": single_bundle_roundtrip, "mixed_bundle_roundtrip": mixed_bundle_roundtrip, "bundle_index_check": bundle_index_check}
 SQL["archive_roundtrip"] = "SELECT source || '/' || doc_id || '.txt' AS rel, sha256(encode(text)) AS sha, true AS restored FROM documents"
 SQL["archive_verify"] = "SELECT source || '/' || doc_id || '.txt' AS rel, octet_length(encode(text))::BIGINT AS in_size, '' AS violation FROM documents"
 QUERIES |= {"archive_roundtrip": archive_roundtrip, "archive_verify": archive_verify}

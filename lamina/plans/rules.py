@@ -10,11 +10,6 @@ from lamina.kernels.containers import CODECS, STREAMS
 from lamina.operators import layers
 from lamina.plans.catalogue import LINE, _SIGN, _chars, _tokens, docs, query
 
-#: Fixed value: what str.splitlines() splits at, beyond what bytes.splitlines() does.
-TEXT_LINES = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
-MOST_LINES = 5000
-
-
 @query("WITH f AS (SELECT doc_id, n_chars, CASE doc_id % 4 WHEN 0 THEN 'a/' || doc_id || '.TXT' WHEN 1 THEN 'b.d/' || doc_id WHEN 2 THEN doc_id || '.tar.gz' ELSE 'x/.' || doc_id || '.md' END AS rel FROM documents) SELECT lower(regexp_extract(rel, '[^/](\\.[^./]+)$', 1)) AS ext, count(*) AS files, sum(n_chars)::BIGINT AS in_bytes FROM f GROUP BY 1")
 def ext_stats(spark, d):
     i, k = F.col("doc_id").cast("string"), F.col("doc_id") % 4
@@ -74,23 +69,6 @@ def magic_kinds(spark, d):
     return docs(spark, d).select("doc_id", F.concat(head, F.encode("text", "UTF-8")).alias("b")).select("doc_id", kind.alias("kind"))
 
 
-_SPLIT = "regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]')"
-
-
-@query(f"SELECT doc_id, len(list_filter({_SPLIT}, lambda x: trim(x) <> '')[1:{MOST_LINES}])::BIGINT AS n_lines FROM documents")
-def line_features(spark, d):
-    """What the fingerprint takes of a text without word features: its first lines that aren't blank."""
-    found = F.slice(F.filter(F.split("text", TEXT_LINES, -1), lambda x: F.trim(x) != ""), 1, MOST_LINES)
-    return docs(spark, d).select("doc_id", F.size(found).cast("long").alias("n_lines"))
-
-
-@query("SELECT doc_id, len(s)::BIGINT AS n_shingles, len(list_distinct(s))::BIGINT AS n_distinct FROM (SELECT doc_id, regexp_extract_all(left(hex(encode(text)), 400000), '.{8}') AS s FROM documents)")
-def byte_shingles(spark, d):
-    """What the fingerprint takes of binaries: four bytes at a time."""
-    s = C.matches(F.substring("chars", 1, 200_000), r"(?s)(.{4})")
-    return _chars(spark, d).select("doc_id", s.alias("s")).select("doc_id", F.size("s").cast("long").alias("n_shingles"), F.size(F.array_distinct("s")).cast("long").alias("n_distinct"))
-
-
 @query("SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN true ELSE false END AS skipped FROM documents")
 def empty_shortcut(spark, d):
     """Empty files are known by their size and hash, and need no decoder."""

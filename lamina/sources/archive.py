@@ -5,7 +5,8 @@ hash of the others), and 16 bytes: magic, index length (8 bytes, little-endian),
 
 Reading: one partition an archive; filters on rel prune entries before their blobs are read, and with
 blobs=false none is. Files are opened through pyarrow's file systems, so any store it knows will do.
-Writing: one task an archive; entries stream to a temporary file, renamed on commit.
+Writing: one task an archive; entries stream to a temporary file of the attempt's own, renamed when it is whole, so that
+an attempt that fails or is run twice leaves no part of an archive under its name.
 """
 
 from __future__ import annotations
@@ -13,12 +14,13 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+import uuid
 import zlib
 from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition, StringStartsWith
 
@@ -146,12 +148,12 @@ def write_archives(files: DataFrame, folder: str) -> DataFrame:
     def run(batches):
         store, root = _open(folder)
         store.create_dir(root)
-        now, writer, f, done = None, None, None, []
+        now, writer, f, done, part = None, None, None, [], ""
 
         def finish():
             writer.close()
             f.close()
-            store.move(f"{root}/.{now}.tmp", f"{root}/{now}.gca")
+            store.move(part, f"{root}/{now}.gca")
             done.append((now, len(writer.entries), writer.at))
 
         for b in batches:
@@ -160,7 +162,8 @@ def write_archives(files: DataFrame, folder: str) -> DataFrame:
                     if writer:
                         finish()
                     now = archive
-                    f = store.open_output_stream(f"{root}/.{now}.tmp")
+                    part = f"{root}/.{now}.{uuid.uuid4().hex}.tmp"
+                    f = store.open_output_stream(part)
                     writer = ArchiveWriter(f)
                 more = json.loads(meta) if meta else {}
                 if rel.startswith(RESOURCE):
@@ -176,6 +179,38 @@ def write_archives(files: DataFrame, folder: str) -> DataFrame:
     return ordered.mapInArrow(run, "archive string, entries long, bytes long")
 
 
+def write_loose(files: DataFrame, folder: str) -> DataFrame:
+    """files: rel, blob. One file each, below folder, named by rel; returns rel, bytes."""
+
+    def run(batches):
+        store, root = _open(folder)
+        for b in batches:
+            done = []
+            for rel, blob in zip(b.column("rel").to_pylist(), b.column("blob").to_pylist()):
+                path = f"{root}/{rel}"
+                store.create_dir(path.rsplit("/", 1)[0])
+                part = f"{path}.{uuid.uuid4().hex}.tmp"
+                with store.open_output_stream(part) as f:
+                    f.write(blob)
+                store.move(part, path)
+                done.append((rel, len(blob)))
+            if done:
+                r, n = zip(*done)
+                yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(n, pa.int64())], ["rel", "bytes"])
+
+    return files.select("rel", "blob").mapInArrow(run, "rel string, bytes long")
+
+
+def entry_violations(index: DataFrame) -> DataFrame:
+    """archive, rel, violation of index entries that can't be right: no rel, negative places, overlaps, hashes that are none."""
+    sha = F.lower(F.trim("blob_sha256"))
+    bad = (F.coalesce("rel", F.lit("")) == "") | (F.col("offset") < 0) | (F.col("length") < 0) | (F.col("blob_sha256").isNotNull() & ~sha.rlike("^[0-9a-f]{64}$"))
+    wrong = index.filter(bad).select("archive", "rel")
+    before = F.max(F.col("offset") + F.col("length")).over(Window.partitionBy("archive").orderBy("offset", "length", "rel").rowsBetween(Window.unboundedPreceding, -1))
+    overlaps = index.filter(~bad & (F.col("length") > 0)).withColumn("_end", before).filter("offset < _end").select("archive", "rel")
+    return wrong.unionByName(overlaps).select("archive", "rel", F.lit("corrupt_payload").alias("violation"))
+
+
 def violations(archives: DataFrame) -> DataFrame:
     """archive, rel, violation of entries whose blobs don't have the index's hashes. Reads all blobs."""
     bad = F.when(F.sha2("blob", 256) != F.col("blob_sha256"), "hash_mismatch").when(F.crc32("blob") != F.col("blob_crc32"), "hash_mismatch").when(F.length("blob") != F.col("length"), "corrupt_payload")

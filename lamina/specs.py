@@ -79,16 +79,20 @@ class FileSpec:
         _only(doc, {"spec", "name", "layer", "codec", "stream_codecs", "mbn"}, "a file pipeline")
         if not str(doc.get("spec", "")).endswith("pipeline.v1") or not all(isinstance(doc.get(k), str) for k in ("name", "layer", "codec")):
             raise UsageError("a file pipeline has spec, name, layer and codec")
-        if not isinstance(doc.get("mbn", True), bool):
-            raise UsageError("mbn is true or false")
+        if doc.get("mbn", True) is not True:
+            raise UsageError("mbn is true: files of this version always hold a stream bundle")
         return cls(doc["name"], Plan(doc["layer"], doc["codec"], _checked_codecs(doc.get("stream_codecs"))))
 
 
 @dataclass(frozen=True)
 class DirectorySpec:
     buckets: int = 16
-    archive: bool = True
+    archive: bool = True  # false: a file of its own for each, without shared dictionaries
+    autopick: bool = True  # false: each type's first plan, without trials
     sample_n: int = 2
+    top_k: int = 2
+    top_db_max: int = 10
+    refresh_top: bool = False
     pools: dict[str, list[Plan]] = field(default_factory=dict)
     numbers_k: int = 64
     templates_k: int = 64
@@ -114,7 +118,11 @@ class DirectorySpec:
             for p in plans:
                 _only(p, {"layer", "codec", "stream_codecs", "note"}, "a plan")
             pools[kind] = [Plan(p["layer"], p["codec"], _checked_codecs(p.get("stream_codecs")), p.get("note", "")) for p in plans]
-        n, sample = buckets or doc.get("buckets", 16), pick.get("sample_n", 2)
-        if not isinstance(n, int) or n < 1 or not isinstance(sample, int) or not 1 <= sample <= 8:
-            raise UsageError("buckets is 1 or more, sample_n 1 to 8")
-        return cls(n, bool(doc.get("archive", True)), sample, pools, sizes.get("num_dict_v1", 64), sizes.get("tpl_dict_v0", 64))
+        n, flags = buckets or doc.get("buckets", 16), {"archive": doc.get("archive", True), "autopick": pick.get("enabled", True), "refresh_top": pick.get("refresh_top", False)}
+        counts = {"sample_n": pick.get("sample_n", 2), "top_k": pick.get("top_k", 2), "top_db_max": pick.get("top_db_max", 10)}
+        whole = lambda x: isinstance(x, int) and not isinstance(x, bool) and x >= 1
+        if not whole(n) or not all(map(whole, counts.values())) or counts["sample_n"] > 8:
+            raise UsageError("buckets, top_k and top_db_max are 1 or more, sample_n 1 to 8")
+        if not all(isinstance(x, bool) for x in flags.values()):
+            raise UsageError(f"{', '.join(flags)}: true or false")
+        return cls(buckets=n, pools=pools, numbers_k=sizes.get("num_dict_v1", 64), templates_k=sizes.get("tpl_dict_v0", 64), **flags, **counts)

@@ -13,7 +13,7 @@ SCHEMA = "doc_id long, text string"
 
 
 def bucketed(rows: DataFrame, buckets: int) -> DataFrame:
-    marks = analyze.fingerprints(rows, "doc_id", "text")
+    marks = analyze.fingerprints(rows.withColumn("content", F.encode("text", "UTF-8")), "doc_id", "content")
     return rows.join(marks, "doc_id").select("doc_id", "simhash64", analyze.bucket(F.col("simhash64"), buckets).alias("bucket"), F.octet_length("text").cast("long").alias("size"), analyze.is_text(C.latin1(F.col("text"))).alias("is_text"))
 
 
