@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from lamina.errors import UsageError
+from lamina.functions import columns as C
 from lamina.kernels import codecs, legacy
 from lamina.kernels.containers import encode
 from lamina.operators.relations import bundle_offsets
@@ -125,7 +126,7 @@ def index_violations(raw: DataFrame) -> DataFrame:
         .when(~F.coalesce("kind", F.lit("")).isin(*PLANS), "no kind")
         .when(number("offset").isNull() | number("length").isNull(), "not a number")
         .when((number("offset") < 0) | (number("length") < 0), "negative")
-        .when(~F.lower(F.trim(F.coalesce("sha256", F.lit("")))).rlike("^[0-9a-f]{64}$"), "no hash")
+        .when(~C.is_sha256(F.coalesce("sha256", F.lit(""))), "no hash")
     )
     judged = raw.withColumn("reason", reason)
     good = judged.filter("reason is null").select("kind", "rel", number("offset").alias("given"), number("length").alias("length"))

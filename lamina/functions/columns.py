@@ -72,3 +72,15 @@ def extension(rel: Column) -> Column:
 def human_bytes(n: Column) -> Column:
     unit = lambda size, name: F.concat(F.format_string("%.1f", n / size), F.lit(name))
     return F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, unit(1 << 10, " KiB")).when(n < 1 << 30, unit(1 << 20, " MiB")).otherwise(unit(1 << 30, " GiB"))
+
+
+def is_sha256(text: Column) -> Column:
+    """Whether a text is a SHA-256 in hex, in either case, with or without white space around it."""
+    return F.lower(F.trim(text)).rlike("^[0-9a-f]{64}$")
+
+
+def file_kind(blob: Column) -> Column:
+    """bundle, extract, container or other, by the first bytes alone; an extract is a container whose flags have the top bit."""
+    framed = F.startswith(blob, F.lit(b"GCC\x06"))
+    flags = F.conv(F.hex(F.substring(blob, 5, 1)), 16, 10).cast("int")
+    return F.when(F.startswith(blob, F.lit(b"MBN")), "bundle").when(framed & (flags.bitwiseAND(128) > 0), "extract").when(framed, "container").otherwise("other")

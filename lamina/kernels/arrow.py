@@ -32,6 +32,16 @@ def decode():
     return column(containers.decode)
 
 
+def streams(blob: str) -> Column:
+    """stype, codec and ulen of the streams of a container."""
+
+    @F.pandas_udf("array<struct<stype:int,codec:int,ulen:long>>")
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(lambda b: [{"stype": s.stype, "codec": s.codec, "ulen": s.ulen} for s in containers.unbundle(containers.unframe(bytes(b)).payload)])
+
+    return run(blob)
+
+
 def huffman_total(kind: str = "long"):
     return F.pandas_udf(lambda s: s.map(lambda counts: codecs.huffman_bits(list(counts)) if len(counts) else 0), kind)
 

@@ -87,3 +87,8 @@ def remembered(history: DataFrame, top_k: int, keep: int) -> DataFrame:
     if top_k < 2:
         return first
     return first.unionByName(runner_up(ranked).select(F.col("bucket").alias("bucket_type"), F.col("runner_up").alias("plan")))
+
+
+def first_of_each(df: DataFrame, sig: str, pos: str) -> DataFrame:
+    """One row for each value of sig: that of the least pos."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(sig).orderBy(pos))).filter("_n = 1").drop("_n")

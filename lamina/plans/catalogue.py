@@ -429,10 +429,12 @@ def tree_diff(spark, d):
     return relations.tree_diff(left, right)
 
 
-@query("SELECT doc_id AS \"index\", CASE WHEN sha256(text) = lower(sha256(text)) THEN true END AS ok FROM documents WHERE regexp_matches(sha256(text), '^[0-9a-f]{64}$')")
+@query("WITH h AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN upper(sha256(text)) WHEN 1 THEN ' ' || sha256(text) || '  ' WHEN 2 THEN left(sha256(text), 63) WHEN 3 THEN sha256(text) || 'a' WHEN 4 THEN 'g' || left(sha256(text), 63) ELSE sha256(text) END AS h FROM documents) SELECT doc_id, regexp_matches(lower(trim(h)), '^[0-9a-f]{64}$') AS ok FROM h")
 def sha_wellformed(spark, d):
-    sha = F.lower(F.trim(F.sha2(F.col("text").cast("binary"), 256)))
-    return docs(spark, d).filter(sha.rlike("^[0-9a-f]{64}$")).select(F.col("doc_id").alias("index"), F.lit(True).alias("ok"))
+    """Hashes of which some are cut, too long, no hex, in capitals or with spaces around them."""
+    sha, k = F.sha2(F.col("text").cast("binary"), 256), F.col("doc_id") % 6
+    made = F.when(k == 0, F.upper(sha)).when(k == 1, F.concat(F.lit(" "), sha, F.lit("  "))).when(k == 2, F.left(sha, F.lit(63))).when(k == 3, F.concat(sha, F.lit("a"))).when(k == 4, F.concat(F.lit("g"), F.left(sha, F.lit(63)))).otherwise(sha)
+    return docs(spark, d).select("doc_id", C.is_sha256(made).alias("ok"))
 
 
 @query(None)

@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lamina.functions import columns as C
+from lamina.kernels import arrow, containers, legacy
 from lamina.kernels.containers import CODECS, STREAMS
-from lamina.operators import layers
-from lamina.plans.catalogue import LINE, _SIGN, _chars, _tokens, docs, query
+from lamina.operators import layers, relations
+from lamina.plans.catalogue import LINE, _SIGN, _tokens, docs, query
+from lamina.sources.archive import entry_violations
 
 @query("WITH f AS (SELECT doc_id, n_chars, CASE doc_id % 4 WHEN 0 THEN 'a/' || doc_id || '.TXT' WHEN 1 THEN 'b.d/' || doc_id WHEN 2 THEN doc_id || '.tar.gz' ELSE 'x/.' || doc_id || '.md' END AS rel FROM documents) SELECT lower(regexp_extract(rel, '[^/](\\.[^./]+)$', 1)) AS ext, count(*) AS files, sum(n_chars)::BIGINT AS in_bytes FROM f GROUP BY 1")
 def ext_stats(spark, d):
@@ -20,8 +22,7 @@ def ext_stats(spark, d):
 @query("WITH s AS (SELECT doc_id, lang || ':' || (doc_id % 3) AS sig FROM documents) SELECT sig, min(doc_id) AS first_pos FROM s GROUP BY 1")
 def plan_dedup(spark, d):
     s = docs(spark, d, "lang").select("doc_id", F.concat_ws(":", "lang", (F.col("doc_id") % 3).cast("string")).alias("sig"))
-    first = F.row_number().over(Window.partitionBy("sig").orderBy("doc_id"))
-    return s.withColumn("n", first).filter("n = 1").select("sig", F.col("doc_id").alias("first_pos"))
+    return relations.first_of_each(s, "sig", "doc_id").select("sig", F.col("doc_id").alias("first_pos"))
 
 
 @query(rf"""WITH {_tokens(LINE, "(SELECT doc_id, lang, text FROM documents)")}, k AS (SELECT lang, regexp_replace(regexp_replace(tok, '{_SIGN}', '\1\2', 'g'), '[0-9]+', '#', 'g') AS tpl FROM t JOIN documents USING (doc_id)), r AS (SELECT lang, tpl, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, tpl) AS rank FROM k GROUP BY 1, 2) SELECT lang, sha256(tpl) AS template_sha, n, rank::INT AS rank FROM r WHERE rank <= 8""")
@@ -32,41 +33,36 @@ def tpl_dict_bucket(spark, d):
     return top.select("lang", F.sha2(F.col("tpl").cast("binary"), 256).alias("template_sha"), "n", "rank")
 
 
-_ROUTES = ", ".join(f"('{n}', {c})" for n, c in STREAMS.items())
-
-
-@query(f"WITH s(stream, stype) AS (VALUES {_ROUTES}), r(stream, codec) AS (VALUES ('NUMS', 'num_v1'), ('META', 'raw'), ('IDS', 'num_v1')), c(codec, code) AS (VALUES {', '.join(f"('{n}', {c})" for n, c in CODECS.items())}), x AS (SELECT doc_id, s.stream, stype, octet_length(encode(text)) % (stype + 2) AS ulen, coalesce(r.codec, 'zlib') AS codec FROM documents, s LEFT JOIN r ON s.stream = r.stream) SELECT stype::INT AS stype, x.codec, code::INT AS code, count(*) AS n, sum(ulen)::BIGINT AS ulen FROM x JOIN c ON x.codec = c.codec GROUP BY ALL")
+@query(rf"""WITH r AS (SELECT octet_length(encode(regexp_replace(regexp_replace(text, '{_SIGN}', '\1\2', 'g'), '[0-9]+', '', 'g')))::BIGINT AS n FROM documents) SELECT {STREAMS["TEXT"]} AS stype, {CODECS["zlib"]} AS code, count(*) AS n, sum(n)::BIGINT AS ulen FROM r UNION ALL SELECT {STREAMS["NUMS"]}, {CODECS["num_v1"]}, count(*), 0 FROM r UNION ALL SELECT {STREAMS["META"]}, {CODECS["raw"]}, count(*), 2 * count(*) FROM r""")
 def stream_routing(spark, d):
-    """Each stream's codec, the default where the plan names none."""
-    stream = F.explode(F.array(*(F.struct(F.lit(n).alias("stream"), F.lit(c).alias("stype")) for n, c in STREAMS.items())))
-    rows = docs(spark, d).select(F.octet_length("text").alias("n"), stream.alias("s")).select("n", "s.*")
-    routes = spark.createDataFrame([("NUMS", "num_v1"), ("META", "raw"), ("IDS", "num_v1")], "stream string, codec string")
-    codes = spark.createDataFrame(list(CODECS.items()), "codec string, code int")
-    routed = rows.join(F.broadcast(routes), "stream", "left").withColumn("codec", F.coalesce("codec", F.lit("zlib"))).join(F.broadcast(codes), "codec")
-    return routed.groupBy("stype", "codec", "code").agg(F.count("*").alias("n"), F.sum((F.col("n") % (F.col("stype") + 2)).cast("long")).alias("ulen"))
-
-
-_FIELD = "CASE doc_id % 5 WHEN 0 THEN 'x' WHEN 1 THEN '-3' WHEN 2 THEN '' ELSE doc_id::VARCHAR END"
+    """The streams of encoded documents with the codecs they went to. SQL has no sizes of number streams, which count as 0 here."""
+    coded = docs(spark, d).select(arrow.encode("split_text_nums", "zlib")(F.encode("text", "UTF-8")).alias("blob"))
+    found = coded.select(F.explode(arrow.streams("blob")).alias("s")).select("s.*")
+    return found.groupBy("stype", F.col("codec").alias("code")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("stype") != STREAMS["NUMS"], F.col("ulen")).otherwise(0)).alias("ulen"))
 
 
-@query(f"SELECT doc_id, CASE WHEN try_cast(v AS BIGINT) IS NULL THEN 'not a number' WHEN v::BIGINT < 0 THEN 'negative' ELSE '' END AS reason FROM (SELECT doc_id, {_FIELD} AS v FROM documents)")
+@query("""WITH e AS (SELECT (doc_id // 100)::VARCHAR AS archive, doc_id, CASE WHEN doc_id % 7 = 4 THEN '' ELSE doc_id::VARCHAR END AS rel, CASE WHEN doc_id % 7 = 1 THEN -5 ELSE doc_id * 100 END AS o, CASE WHEN doc_id % 7 = 2 THEN 150 ELSE 50 END AS l, doc_id % 7 IN (1, 3, 4) AS bad FROM documents),
+ p AS (SELECT *, max(o + l) OVER (PARTITION BY archive ORDER BY o, l, rel ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM e WHERE NOT bad) SELECT archive, rel, 'corrupt_payload' AS violation FROM e WHERE bad UNION ALL SELECT archive, rel, 'corrupt_payload' FROM p WHERE o < e""")
 def index_validation(spark, d):
-    k = F.col("doc_id") % 5
-    v = F.when(k == 0, "x").when(k == 1, "-3").when(k == 2, "").otherwise(F.col("doc_id").cast("string"))
-    n = F.expr("try_cast(v as bigint)")
-    return docs(spark, d).select("doc_id", v.alias("v")).select("doc_id", F.when(n.isNull(), "not a number").when(n < 0, "negative").otherwise("").alias("reason"))
+    """Archive entries of which some have no name, a negative place, a hash that is none, or reach into the next."""
+    k = F.col("doc_id") % 7
+    rows = docs(spark, d).select(
+        F.expr("cast(doc_id div 100 as string)").alias("archive"),
+        F.when(k == 4, "").otherwise(F.col("doc_id").cast("string")).alias("rel"),
+        F.when(k == 1, -5).otherwise(F.col("doc_id") * 100).alias("offset"),
+        F.when(k == 2, 150).otherwise(50).cast("long").alias("length"),
+        F.when(k == 3, "none").otherwise(F.sha2(F.col("text").cast("binary"), 256)).alias("blob_sha256"),
+    )
+    return entry_violations(rows)
 
 
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'bundle' WHEN 1 THEN 'container' WHEN 2 THEN 'extract' ELSE 'other' END AS kind FROM documents")
 def magic_kinds(spark, d):
-    """By the first bytes alone; an extract is a container whose flags have the top bit."""
-    k = F.col("doc_id") % 4
-    head = F.when(k == 0, F.lit(b"MBN")).when(k == 1, F.lit(b"GCC\x06\x01\x00\x00")).when(k == 2, F.lit(b"GCC\x06\x80\x06\x07")).otherwise(F.lit(b"\x00"))
-    b = F.col("b")
-    framed = F.startswith(b, F.lit(b"GCC\x06"))
-    flags = F.conv(F.hex(F.substring(b, 5, 1)), 16, 10).cast("int")
-    kind = F.when(F.startswith(b, F.lit(b"MBN")), "bundle").when(framed & (flags.bitwiseAND(128) > 0), "extract").when(framed, "container").otherwise("other")
-    return docs(spark, d).select("doc_id", F.concat(head, F.encode("text", "UTF-8")).alias("b")).select("doc_id", kind.alias("kind"))
+    """What encoders have made, told apart by the first bytes."""
+    k, content = F.col("doc_id") % 4, F.encode("text", "UTF-8")
+    rows = docs(spark, d).select("doc_id", k.alias("k"), content.alias("c"), arrow.encode("bytes", "zlib")(content).alias("file"), arrow.column(containers.extract)(content).alias("extract"))
+    payload = F.expr("substring(file, 8)")  # a container's head has seven bytes; then comes the bundle
+    return rows.select("doc_id", C.file_kind(F.when(F.col("k") == 0, payload).when(F.col("k") == 1, F.col("file")).when(F.col("k") == 2, F.col("extract")).otherwise(F.col("c"))).alias("kind"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN true ELSE false END AS skipped FROM documents")
@@ -76,9 +72,12 @@ def empty_shortcut(spark, d):
     return docs(spark, d).select("doc_id", content.alias("c")).select("doc_id", ((F.length("c") == 0) & (F.sha2("c", 256) == F.sha2(F.lit(b""), 256))).alias("skipped"))
 
 
-@query("WITH s AS (SELECT doc_id, octet_length(encode(text)) AS n FROM documents), g AS (SELECT doc_id, 'bytes' AS layer, n AS size, 0 AS ord FROM s UNION ALL SELECT doc_id, 'words', n * 7 // 10 + 20, 1 FROM s UNION ALL SELECT doc_id, 'templates', n * 6 // 10 + 300, 2 FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY size, ord) AS k FROM g) SELECT doc_id, layer, size::BIGINT AS size FROM r WHERE k = 1")
+@query("SELECT doc_id, true AS least, true AS restored FROM documents")
 def smallest_wins(spark, d):
-    """Of candidate sizes the least; ties go to the earlier candidate."""
-    n = F.octet_length("text").cast("long")
-    options = F.array(*(F.struct(size.cast("long").alias("size"), F.lit(k).alias("ord"), F.lit(name).alias("layer")) for k, (name, size) in enumerate((("bytes", n), ("words", F.floor(n * 7 / 10) + 20), ("templates", F.floor(n * 6 / 10) + 300)))))
-    return docs(spark, d).select("doc_id", F.array_min(options).alias("b")).select("doc_id", "b.layer", "b.size")
+    """The smallest of several encodings of each document: none of them, made apart, is smaller, and it decodes."""
+    layers, kinds = ("bytes", "lines_dict"), ("raw", "zlib")
+    content = F.encode("text", "UTF-8")
+    sizes = [F.length(arrow.encode(layer, codec)("c")) for layer in layers for codec in kinds]
+    best = arrow.column(lambda data: legacy.smallest(data, layers, kinds)[2])("c")
+    rows = docs(spark, d).select("doc_id", content.alias("c")).select("doc_id", "c", F.least(*sizes).alias("size"), best.alias("blob"))
+    return rows.select("doc_id", (F.length("blob") == F.col("size")).alias("least"), (arrow.decode()("blob") == F.col("c")).alias("restored"))

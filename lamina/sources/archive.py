@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition, StringStartsWith
 
 from lamina.errors import CorruptPayload, HashMismatch
+from lamina.functions import columns as C
 
 MAGIC, TRAILER, RESOURCE = b"GCA1", "gca.index_trailer.v1", "__res__/"
 SCHEMA = "archive string, rel string, offset long, length long, kind string, res_name string, blob_sha256 string, blob_crc32 long, meta string, blob binary"
@@ -203,8 +204,7 @@ def write_loose(files: DataFrame, folder: str) -> DataFrame:
 
 def entry_violations(index: DataFrame) -> DataFrame:
     """archive, rel, violation of index entries that can't be right: no rel, negative places, overlaps, hashes that are none."""
-    sha = F.lower(F.trim("blob_sha256"))
-    bad = (F.coalesce("rel", F.lit("")) == "") | (F.col("offset") < 0) | (F.col("length") < 0) | (F.col("blob_sha256").isNotNull() & ~sha.rlike("^[0-9a-f]{64}$"))
+    bad = (F.coalesce("rel", F.lit("")) == "") | (F.col("offset") < 0) | (F.col("length") < 0) | (F.col("blob_sha256").isNotNull() & ~C.is_sha256(F.col("blob_sha256")))
     wrong = index.filter(bad).select("archive", "rel")
     before = F.max(F.col("offset") + F.col("length")).over(Window.partitionBy("archive").orderBy("offset", "length", "rel").rowsBetween(Window.unboundedPreceding, -1))
     overlaps = index.filter(~bad & (F.col("length") > 0)).withColumn("_end", before).filter("offset < _end").select("archive", "rel")

@@ -1,3 +1,9 @@
+import hashlib
+import heapq
+import re
+import zlib
+from collections import Counter
+
 import pytest
 from oracle import compare
 
@@ -26,3 +32,36 @@ def test_entry(spark):
 def test_concatenation_takes_all_documents(spark):
     total = spark.read.parquet(f"{D}/documents.parquet").selectExpr("sum(octet_length(text)) AS n").first().n
     assert catalogue.queries()["concat_sha256"](spark, D).selectExpr("sum(n_bytes) AS n").first().n == total
+
+
+def test_queries_without_sql(spark):
+    """Checksums, Huffman sizes and BLAKE2b fingerprints, computed apart."""
+    texts = {r.doc_id: r.text.encode() for r in spark.read.parquet(f"{D}/documents.parquet").collect()}
+    assert {r.doc_id: r.crc for r in catalogue.queries()["crc32_blobs"](spark, D).collect()} == {i: zlib.crc32(t) for i, t in texts.items()}
+
+    def bits(data):
+        heap = list(Counter(data).values())
+        if len(heap) == 1:
+            return heap[0]
+        heapq.heapify(heap)
+        total = 0
+        while len(heap) > 1:
+            both = heapq.heappop(heap) + heapq.heappop(heap)
+            total += both
+            heapq.heappush(heap, both)
+        return total
+
+    assert {r.doc_id: r.bits for r in catalogue.queries()["huffman_total_bits"](spark, D).collect()} == {i: bits(t) for i, t in texts.items()}
+    got = {r.doc_id: int(r.simhash64) for r in catalogue.queries()["simhash64_blake2b"](spark, D).collect()}
+    printable = {9, 10, 13, *range(32, 127)}
+    for i, t in list(texts.items())[:60]:
+        if sum(b in printable for b in t) < 0.85 * len(t):
+            items = Counter(t[k : k + 4] for k in range(0, min(len(t), 200_000) - 3, 4))
+        else:
+            items = Counter({w: min(n, 20) for w, n in Counter(x.encode() for x in re.findall("[A-Za-z0-9_]{2,}", t.decode().lower())).items()})
+        votes = [0] * 64
+        for token, n in items.items():
+            h = int.from_bytes(hashlib.blake2b(token, digest_size=8).digest(), "big")
+            for k in range(64):
+                votes[k] += n if h >> k & 1 else -n
+        assert got[i] == sum(1 << k for k in range(64) if votes[k] >= 0), i
