@@ -111,6 +111,26 @@ def test_orc_cases(spark, tmp_path):
     assert orcids.round_trip(docs(spark, []), WORDS).count() == 0
 
 
+def test_orc_stripes_and_indexes(spark, tmp_path):
+    """Several stripes with disjoint ranges of doc_id, each with a row index and a Bloom filter of doc_id, in the file itself."""
+    rng = random.Random(3)
+    df = docs(spark, [" ".join(f"w{rng.randrange(10**6)}" for _ in range(300)) for _ in range(3000)], rng.sample(range(10**9), 3000))
+    orcids.write(df, str(tmp_path / "o"), WORDS, partitions=1, stripe_bytes=1 << 16, stride=1000)
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    name = next(str(p) for p in (tmp_path / "o").glob("part-*.orc"))
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(name), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    stripes, rows = reader.getStripes(), reader.rows()
+    assert stripes.size() > 1
+    column = [str(x) for x in reader.getSchema().getFieldNames()].index("doc_id") + 1
+    for k in range(stripes.size()):
+        kinds = {(s.getColumn(), str(s.getKind())) for s in rows.readStripeFooter(stripes.get(k)).getStreamsList()}
+        assert {(column, "ROW_INDEX"), (column, "BLOOM_FILTER_UTF8")} <= kinds
+    ranges = [(s.getMinimum(), s.getMaximum()) for s in (x.getColumnStatistics()[column] for x in reader.getStripeStatistics())]
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    some = df.first()
+    assert [r.ids for r in orcids.lookup(spark, str(tmp_path / "o"), some.doc_id).collect()] == [ids_of(some.text, 2)]
+
+
 def test_op3(spark):
     rows = spark.read.parquet(f"{D}/embeddings.parquet").toPandas()
     x = np.floor(np.array(rows["embedding"].tolist(), np.float64) * 256)
@@ -508,6 +528,26 @@ def test_ring_cases(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count().count() == 7
 
 
+def test_ring_moves_few_rows():
+    """Of 40,000 random places few lie off their own shard, and few move when a shard is added: at least 1 in 41 must."""
+    places = np.sort(np.random.default_rng(2).integers(-(1 << 63), (1 << 63) - 1, 40_000))
+
+    def shards(n):
+        ends, owners = ring.ring(n)
+        owners = [*owners, owners[0]]
+        arc = np.searchsorted(np.array(ends), places, "left")
+        rank = np.arange(len(places)) - np.searchsorted(arc, arc)
+        out = np.full(len(places), -1)
+        for a, first, end, shard, _ in ring.placement(np.bincount(arc, minlength=len(owners)).tolist(), owners, ring.capacities(len(places), n)):
+            at = np.searchsorted(arc, a)
+            out[at + first : at + end] = shard
+        assert (rank >= 0).all() and (out >= 0).all() and np.ptp(np.bincount(out)) <= 1
+        return out, np.array(owners)[arc]
+
+    (before, own), (after, _) = shards(40), shards(41)
+    assert (before != own).mean() < 0.08 and 1 / 42 < (before != after).mean() < 0.08
+
+
 def base_spans(text):
     out = []
     for m in re.finditer(r"((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text or ""):
