@@ -7,6 +7,9 @@ import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterable
+from functools import lru_cache
+
+import numpy as np
 
 from lamina.errors import CorruptPayload, UsageError
 
@@ -33,6 +36,37 @@ def varint(n: int) -> bytes:
     return bytes(out)
 
 
+#: The varints that are asked for most.
+_SHORT = [varint(n) for n in range(1 << 14)]
+
+
+def varints(numbers: Iterable[int]) -> bytes:
+    most = len(_SHORT)
+    return b"".join([_SHORT[n] if 0 <= n < most else varint(n) for n in numbers])
+
+
+def unvarints(data: bytes) -> list[int]:
+    """All varints of a buffer, side by side."""
+    if not data:
+        return []
+    a = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero(a < 128)
+    if a[-1] > 127:
+        raise CorruptPayload("a varint has no end")
+    starts = np.r_[0, ends[:-1] + 1]
+    size = ends - starts + 1
+    if size.max() > 8:  # beyond what a signed 64-bit number holds for sure: one by one
+        r, out = Reader(data), []
+        while not r.ended:
+            out.append(r.varint())
+        return out
+    values = np.zeros(len(ends), np.int64)
+    for k in range(int(size.max())):
+        some = np.flatnonzero(size > k)
+        values[some] |= (a[starts[some] + k].astype(np.int64) & 127) << (7 * k)
+    return values.tolist()
+
+
 class Reader:
     """Takes bytes and varints from a buffer; what reaches past its end is corrupt."""
 
@@ -72,14 +106,11 @@ def unzigzag(u: int) -> int:
 
 
 def ints_to_bytes(ints: Iterable[int]) -> bytes:
-    return b"".join(varint(zigzag(n)) for n in ints)
+    return varints([2 * n if n >= 0 else -2 * n - 1 for n in ints])
 
 
 def bytes_to_ints(data: bytes) -> list[int]:
-    r, out = Reader(data), []
-    while not r.ended:
-        out.append(unzigzag(r.varint()))
-    return out
+    return [u >> 1 ^ -(u & 1) for u in unvarints(data)]
 
 
 def num_v0(data: bytes) -> bytes:
@@ -247,6 +278,12 @@ def resolve(codec: str) -> str:
     return "zlib" if codec in ("zstd", "zstd_tight") and not have_zstd() else codec
 
 
+@lru_cache(maxsize=2)
+def _press(sized: bool):
+    """A compressor of level 19, kept, as its tables take longer to set up than a short text to compress."""
+    return zstandard.ZstdCompressor(level=19, write_content_size=sized, write_checksum=False)
+
+
 def compress(codec: str, data: bytes, shared: list[int] | None = None) -> bytes:
     match resolve(codec):
         case "raw":
@@ -254,9 +291,9 @@ def compress(codec: str, data: bytes, shared: list[int] | None = None) -> bytes:
         case "zlib":
             return zlib.compress(data, 9)
         case "zstd":
-            return zstandard.ZstdCompressor(level=19).compress(data)
+            return _press(True).compress(data)
         case "zstd_tight":
-            return zstandard.ZstdCompressor(level=19, write_content_size=False, write_checksum=False).compress(data)
+            return _press(False).compress(data)
         case "huffman":
             return huffman_blob(data)
         case "num_v0":

@@ -140,9 +140,9 @@ def split(layer: str, data: bytes, shared: Shared | None = None) -> dict[str, by
                     runs[-1][1] += 1
                 else:
                     runs.append([i, 1])
-            main = b"".join(K.varint(i) + K.varint(n) for i, n in runs)
+            main = K.varints([x for run in runs for x in run])
         else:
-            main = b"".join(map(K.varint, ids))
+            main = K.varints(ids)
         return {"MAIN": main, "META": K.vocabulary(_l1(list(number)))}
     if layer == "vc0":
         vowels = [c in "aeiouAEIOU" for c in s]
@@ -179,11 +179,12 @@ def _join(layer: str, streams: dict[str, bytes], shared: Shared | None) -> bytes
     if layer == "bytes":
         return streams["MAIN"]
     if layer in ("words_it", "syllables_it", "lines_dict", "lines_rle"):
-        vocabulary, r, out = K.unvocabulary(streams["META"]), K.Reader(streams["MAIN"]), []
-        while not r.ended:
-            token = vocabulary[r.varint()]
-            out.append(token * r.varint() if layer == "lines_rle" else token)
-        return b"".join(out)
+        vocabulary, ids = K.unvocabulary(streams["META"]), K.unvarints(streams["MAIN"])
+        if layer == "lines_rle":
+            if len(ids) % 2:
+                raise CorruptPayload("a run without a length")
+            return b"".join([vocabulary[i] * n for i, n in zip(ids[::2], ids[1::2])])
+        return b"".join([vocabulary[i] for i in ids])
     if layer == "vc0":
         vowels, cons = iter(streams["VOWELS"]), iter(streams["CONS"])
         return bytes(next(vowels if m == 86 else cons) for m in streams["MASK"])

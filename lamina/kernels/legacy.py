@@ -42,10 +42,7 @@ def _symbols(freq, last: int, bits: bytes) -> list[int]:
 
 def _ids(layer: str, data: bytes) -> tuple[list[bytes], list[int]]:
     parts = B.split(layer, data)
-    r, ids = K.Reader(parts["MAIN"]), []
-    while not r.ended:
-        ids.append(r.varint())
-    return K.unvocabulary(parts["META"]), ids
+    return K.unvocabulary(parts["META"]), K.unvarints(parts["MAIN"])
 
 
 def write(version: int, data: bytes) -> bytes:
@@ -143,7 +140,7 @@ def un_huffman_bundle(blob: bytes) -> list[Part]:
 
 
 def _raw_of(p: Part) -> bytes:
-    return b"".join(map(K.varint, p.data)) if p.is_ids else p.data
+    return K.varints(p.data) if p.is_ids else p.data
 
 
 def zstd_bundle(parts: list[Part], codec: str = "zstd") -> bytes:
@@ -172,10 +169,7 @@ def un_zstd_bundle(blob: bytes) -> list[Part]:
         if blob[:4] == ZSTD_1:
             raw = K.decompress("zstd", raw)
         if is_ids:
-            ids, values = K.Reader(raw), []
-            while not ids.ended:
-                values.append(ids.varint())
-            raw = values
+            raw = K.unvarints(raw)
         if len(raw) != n:
             raise CorruptPayload("a stream has another length")
         out.append(Part(name, alphabet, raw))

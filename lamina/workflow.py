@@ -22,16 +22,17 @@ ARCHIVE_BYTES = 256 << 20
 LOOSE = ".gcc6"
 
 
-def bucket(simhash64, buckets: int):
-    """The bucket of each fingerprint; replace it (a column of int from a column of DECIMAL(20,0)) to bucket by another rule."""
-    return analyze.bucket(simhash64, buckets)
+def _bucket(rule, simhash64, buckets: int):
+    """The bucket by a rule (from a column of DECIMAL(20,0) and a number to a column), or by the fingerprint modulo the number where there is none or its result is null."""
+    own = analyze.bucket(simhash64, buckets)
+    return own if rule is None else F.coalesce(rule(simhash64, buckets).cast("int"), own)
 
 
-def analyzed(files: DataFrame, buckets: int, bucket=bucket) -> DataFrame:
-    """files: rel, content. Adds size, simhash64, is_text, bucket and bucket_type."""
+def analyzed(files: DataFrame, buckets: int, rule=None) -> DataFrame:
+    """files: rel, content. Adds size, simhash64, is_text, bucket (see _bucket()) and bucket_type. Fingerprints are of the first 256 KiB."""
     heads = analyze.sampled(files.select("rel", "content"), "content").select("rel", "size", "prefix")
     marks = analyze.fingerprints(heads, "rel", "prefix")
-    placed = files.select("rel", "content").join(heads.select("rel", "size", analyze.is_text(C.latin1_of(F.col("prefix"))).alias("is_text")), "rel").join(marks.select("rel", "simhash64"), "rel").withColumn("bucket", bucket(F.col("simhash64"), buckets))
+    placed = files.select("rel", "content").join(heads.select("rel", "size", analyze.is_text(C.latin1_of(F.col("prefix"))).alias("is_text")), "rel").join(marks.select("rel", "simhash64"), "rel").withColumn("bucket", _bucket(rule, F.col("simhash64"), buckets))
     metrics = analyze.bucket_metrics(placed, "bucket", "rel", "content").select("bucket", analyze.bucket_type().alias("bucket_type"))
     return placed.join(metrics, "bucket", "left").withColumn("bucket_type", F.coalesce("bucket_type", F.lit("textish")))
 
@@ -66,15 +67,16 @@ def _top_templates(counted: DataFrame, k: int) -> DataFrame:
 MANIFEST = "kind string, bucket int, bucket_type string, rel string, layer_id string, codec_text string, plan string, runner_up string, ratio double, score double, archive string, archive_offset long, archive_length long, in_size long, out_size long, in_sha256 string, blob_sha256 string, bucket_resources map<string,string>"
 
 
-def pack(spark: SparkSession, files: DataFrame, out: str, spec: DirectorySpec | None = None, history: DataFrame | None = None) -> DataFrame:
+def pack(spark: SparkSession, files: DataFrame, out: str, spec: DirectorySpec | None = None, history: DataFrame | None = None, rule=None) -> DataFrame:
     """files: rel, content. Writes archives (or loose files), manifest, trials and report under ``out``; returns the manifest's file records.
 
     A bucket of much data has several archives, so that one bucket is not one task. Each run writes to a folder of its own, which the
-    header names last: what an earlier or a failed run has left is never read. history: plans remembered from other runs, see memory().
+    header names last: what an earlier or a failed run has left is never read. history: plans remembered from other runs, see memory(). rule: another
+    way to bucket, see _bucket().
     """
     spec = spec or DirectorySpec()
     run = uuid.uuid4().hex
-    placed = written(analyzed(files, spec.buckets))
+    placed = written(analyzed(files, spec.buckets, rule))
     shared = written(dictionaries(placed, spec.numbers_k if spec.archive else 0, spec.templates_k if spec.archive else 0))
     plan, trials = planner.choose(placed, planner.table(spark, spec, history), spec.sample_n, shared)
     plan = written(plan)

@@ -137,6 +137,8 @@ def test_fingerprint_branches(spark):
 
     want = {"empty": ("empty", 0), "words": ("tokens", votes([(b"some", 2), (b"words", 1), (b"here", 1), (b"more", 1)])), "marks": ("lines", votes([(b"- -", 1), (b"+ +", 1)])), "stars": ("lines", votes([(b"* *", 1), (b"% %", 1)])), "spaces": ("lines", full), "noise": ("bin4", votes([(noise[k : k + 4], 1) for k in range(0, 60_000, 4)]))}
     assert {k: (r.branch, int(r.simhash64)) for k, r in got.items()} == want
+    own = workflow.analyzed(df, 8, lambda simhash, n: F.when(F.col("rel") == "noise", F.lit(n + 3)))
+    assert own.filter("bucket = 11").count() == 1 and own.filter("bucket < 8").count() == 5
     placed = workflow.analyzed(df, 1 << 20)
     assert placed.filter("rel = 'noise'").first().bucket_type == "binaryish"
 
