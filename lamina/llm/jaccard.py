@@ -5,9 +5,11 @@ hashes, with the number of bands chosen for the target recall. Nodes that share
 candidates, and pairs are verified on their full n-gram sets.
 
 Buckets of at most ``SMALL`` nodes give candidate pairs, once for each distinct set of members. Larger
-buckets are joined to families (connected components), whose members are compared in blocks of about
-``BLOCK`` by ``BLOCK``, all against all; a block gives each node's number of links and a spanning forest,
-so no pairs are emitted and no link is lost, however large the group.
+buckets are joined to families (connected components), whose members are dealt to classes by the size of their
+sets, and within a class to blocks of about ``BLOCK`` nodes and ``GRAMS`` n-grams. Only blocks of the same or neighbouring classes can
+hold similar sets; they are compared all against all. A pair of blocks gives each node's number of links and a spanning forest,
+so no pairs are emitted and no link is lost, however large the group. The counts of links make that work grow with the
+square of a family of unlike texts; copies of one text are one node.
 
 Classes are the connected components of the links; class_id is the smallest doc_id. n_links counts
 the other documents that a document's set is similar to, copies included.
@@ -23,7 +25,6 @@ import math
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,6 +35,8 @@ from lamina.llm.components import components
 
 NGRAM, THRESHOLD, ROWS, RECALL = 5, Fraction(4, 5), 10, 0.999
 SMALL, BLOCK = 32, 1024
+#: N-grams of a block at most, but for a single set.
+GRAMS = 1 << 20
 
 
 def bands_for(threshold: float = float(THRESHOLD), rows: int = ROWS, recall: float = RECALL) -> int:
@@ -162,40 +165,62 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _families(members: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """node, copies, least, family, blocks, block (its number within the family)."""
+    """node, copies, least, n, family, cls (size class), block (its number within the family's class)."""
     family = components(members.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), scratch)
-    size = family.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    return family.join(size, "component").join(nodes, "node").select("node", "copies", "least", F.col("component").alias("family"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    # sets of n and m n-grams can be similar only if n / m is the threshold or more: if their classes differ by one at most
+    cls = F.floor(F.log("n") / math.log(1 / float(THRESHOLD))).cast("int")
+    rows = family.join(nodes, "node").select("node", "copies", "least", "n", F.col("component").alias("family"), cls.alias("cls"))
+    size = rows.groupBy("family", "cls").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / GRAMS)).cast("int").alias("blocks"))
+    return rows.join(size, ["family", "cls"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
 
-def _compared(families: DataFrame, texts: DataFrame) -> DataFrame:
-    """Blocks of each family, all against all: (a, null, links) for each node's links with weight, and (a, b, null) for a spanning forest."""
-    placed = families.join(texts, "node").select("family", "node", "copies", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = placed.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+def _sets(families: DataFrame, texts: DataFrame) -> DataFrame:
+    """family, cls, block, node, copies, grams (the n-gram set, binary): each text is cut up once, however many blocks it meets."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(batches):
         hashes = word_hashes()
-        sets, keep, seen = [], [], set()
-        for k, (node, text) in enumerate(zip(pdf["node"], pdf["text"])):
-            s = gram_set(text or "", hashes)
-            if node not in seen and node_of(s) == node:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 500):
+                batch = whole.slice(k, 500)
+                sets = [gram_set(t, hashes) for t in texts_of(batch)]
+                fine = pa.array([node_of(s) == node for s, node in zip(sets, batch.column("node").to_pylist())], pa.bool_())
+                columns = [batch.column(c) for c in ("family", "cls", "block", "node", "copies")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([s.tobytes() for s in sets], pa.binary())], ["family", "cls", "block", "node", "copies", "grams"]).filter(fine)
+
+    rows = families.join(texts, "node").select("family", "cls", "block", "node", "copies", "text")
+    return rows.mapInArrow(run, "family long, cls int, block int, node long, copies long, grams binary")
+
+
+def _compared(sets: DataFrame, families: DataFrame) -> DataFrame:
+    """Blocks of each family, each against those of its own and the next size class: (a, null, links) for each node's links with weight, and (a, b, null) for a spanning forest."""
+    blocks = families.groupBy("family", "cls").agg(F.max("blocks").alias("blocks"))
+    numbers = blocks.select("family", F.col("cls").alias("other"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("number"))
+    near = numbers.withColumn("cls", F.explode(F.array(F.col("other") - 1, F.col("other"), F.col("other") + 1)))
+    placed = sets.join(near, ["family", "cls"])
+    mine, theirs = F.struct("cls", "block"), F.struct(F.col("other").alias("cls"), F.col("number").alias("block"))
+    placed = placed.select("family", "node", "copies", "grams", (mine <= theirs).alias("first"), F.least(mine, theirs).alias("i"), F.greatest(mine, theirs).alias("j"))
+
+    def run(group: pa.Table) -> pa.Table:
+        seen, keep = set(), []
+        for k, node in enumerate(group.column("node").to_pylist()):
+            if node not in seen:
                 seen.add(node)
-                sets.append(s)
                 keep.append(k)
-        pdf = pdf.iloc[keep]
-        if not len(pdf):
-            return pd.DataFrame({"a": [], "b": [], "links": []})
-        links = link_matrix(sets)
-        side = pdf["block"].to_numpy()
-        if pdf["i"].iloc[0] != pdf["j"].iloc[0]:
+        group = group.take(pa.array(keep))
+        links = link_matrix([np.frombuffer(g, np.uint64) for g in group.column("grams").to_pylist()])
+        if group.column("i")[0] != group.column("j")[0]:
+            side = np.asarray(group.column("first"))
             links &= side[:, None] != side[None, :]
-        node, weight = pdf["node"].to_numpy(), pdf["copies"].to_numpy().astype(np.float64)
+        node, weight = np.asarray(group.column("node")), np.asarray(group.column("copies")).astype(np.float64)
         count, root = links @ weight, forest(links)
         joined = np.flatnonzero(root != np.arange(len(root)))
         counted = np.flatnonzero(count)
-        return pd.DataFrame({"a": np.concatenate([node[counted], node[joined]]), "b": pd.array([None] * len(counted) + node[root[joined]].tolist(), "Int64"), "links": pd.array(count[counted].astype(np.int64).tolist() + [None] * len(joined), "Int64")})
+        none = lambda n: np.zeros(n, bool)
+        b = pa.array(np.concatenate([np.zeros(len(counted), np.int64), node[root[joined]]]), mask=np.r_[~none(len(counted)), none(len(joined))])
+        n = pa.array(np.concatenate([count[counted].astype(np.int64), np.zeros(len(joined), np.int64)]), mask=np.r_[none(len(counted)), ~none(len(joined))])
+        return pa.table({"a": pa.array(np.concatenate([node[counted], node[joined]])), "b": b, "links": n})
 
-    return placed.groupBy("family", "i", "j").applyInPandas(run, "a long, b long, links long")
+    return placed.groupBy("family", "i", "j").applyInArrow(run, "a long, b long, links long")
 
 
 def joined(docs: DataFrame) -> DataFrame:
@@ -204,6 +229,7 @@ def joined(docs: DataFrame) -> DataFrame:
     rows = scratch.written(signatures(docs, bands_for()))
     all_nodes = scratch.written(rows.filter("node is not null and doc_id is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     nodes = all_nodes.select("node", "copies", "least")
+    sized = all_nodes.select("node", "copies", "least", "n")
     exploded = all_nodes.select("node", "n", F.explode("bands").alias("band"))
     buckets = exploded.groupBy("band").agg(F.count("*").alias("m"), F.min("node").alias("hub")).filter("m > 1")
     members = scratch.written(exploded.join(buckets, "band"))
@@ -213,7 +239,7 @@ def joined(docs: DataFrame) -> DataFrame:
     if large.isEmpty():
         families = None
     else:
-        families = scratch.written(_families(large, nodes, scratch))
+        families = scratch.written(_families(large, sized, scratch))
         of = families.select("node", "family")
         same = pairs.join(of.withColumnsRenamed({"node": "x", "family": "fx"}), "x").join(of.withColumnsRenamed({"node": "y", "family": "fy"}), "y").filter("fx = fy")
         pairs = scratch.written(pairs.join(same.select("x", "y"), ["x", "y"], "left_anti"))
@@ -224,7 +250,7 @@ def joined(docs: DataFrame) -> DataFrame:
     ways = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
     counts = ways.join(nodes.select(F.col("node").alias("y"), "copies"), "y").groupBy(F.col("x").alias("node")).agg(F.sum("copies").alias("links"))
     if families is not None:
-        blocks = scratch.written(_compared(families, texts))
+        blocks = scratch.written(_compared(scratch.written(_sets(families, texts)), families))
         edges = edges.unionByName(blocks.filter("b is not null").select("a", "b"))
         counts = counts.unionByName(blocks.filter("links is not null").select(F.col("a").alias("node"), "links")).groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(edges, scratch)

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from oracle import compare
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -268,13 +269,14 @@ def test_jaccard_against_brute_force(spark, monkeypatch):
 def test_jaccard_large_group_and_cases(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 40)
     monkeypatch.setattr(jaccard, "SMALL", 4)
+    monkeypatch.setattr(jaccard, "GRAMS", 9000)
     rng = random.Random(5)
     base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
     texts = []
     for k in range(120):
-        words = list(base)
+        words = base[: rng.choice([300, 300, 290, 270, 245, 230])]
         for _ in range(rng.randrange(6)):
-            words[rng.randrange(300)] = f"n{k}{rng.random()}"
+            words[rng.randrange(len(words))] = f"n{k}{rng.random()}"
         texts.append(" ".join(words))
     texts += [None, "", " \n", "one two", "one  two", "three"]
     ids = [*range(len(texts) - 1), None]
@@ -282,7 +284,7 @@ def test_jaccard_large_group_and_cases(spark, monkeypatch):
     sets = [set(jaccard.gram_set(t, WordHashes()).tolist()) for t in texts[:120]]
     for k in range(120):
         links = sum(5 * len(sets[k] & s) >= 4 * len(sets[k] | s) for s in sets) - 1
-        assert got[k] == (0, links)
+        assert got[k][1] == links and got[k][0] in (0, k)
     assert [got[k] for k in (120, 121, 122, 123, 124, None)] == [(120, 0), (121, 0), (122, 0), (123, 1), (123, 1), (None, 0)]
     assert jaccard.joined(docs(spark, [])).count() == 0
     assert sorted((r.doc_id is None, r.doc_id) for r in jaccard.kept(docs(spark, ["a b", "a b", "a b", None, None, ""], [2, 1, 1, None, None, None])).collect()) == [(False, 1), (True, None), (True, None)]
@@ -513,6 +515,11 @@ def test_op8(spark):
     assert (counts["max"] == counts["count"] - 1).all() and (counts["nunique"] == counts["count"]).all() and set(got["law"]) == {"rows"}
 
 
+@pytest.mark.parametrize("name", list(queries.oracle_sql()))
+def test_against_sql(spark, name):
+    compare(spark, name, queries.queries()[name], queries.oracle_sql()[name], "/root/testdata/sf0.01")
+
+
 def test_ring_cases(spark, tmp_path):
     texts = ["same"] * 300 + [f"t{k}" for k in range(300)] + [None, ""]
     df = docs(spark, texts)
