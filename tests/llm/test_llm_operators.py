@@ -115,7 +115,7 @@ def test_orc_cases(spark, tmp_path):
 def test_orc_stripes_and_indexes(spark, tmp_path):
     """Several stripes with disjoint ranges of doc_id, each with a row index and a Bloom filter of doc_id, in the file itself."""
     rng = random.Random(3)
-    df = docs(spark, [" ".join(f"w{rng.randrange(10**6)}" for _ in range(300)) for _ in range(3000)], rng.sample(range(10**9), 3000))
+    df = docs(spark, [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(12_000)], rng.sample(range(10**9), 12_000))
     orcids.write(df, str(tmp_path / "o"), WORDS, partitions=1, stripe_bytes=1 << 16, stride=1000)
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     name = next(str(p) for p in (tmp_path / "o").glob("part-*.orc"))
