@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.common import Scratch, own_columns
+from lamina.operators.ordering import numbered
 
 SAMPLE, PIVOTS, BLOCK, QUERIES, SCALE = 4096, 64, 1024, 8192, 256
 
@@ -186,10 +187,13 @@ def _search(ints: DataFrame, norm2: float, asked: int, k: int, every: int, scrat
     width = np.array([(cells[p].z - cells[p].a) * 4 * (k + 1) / cells[p].n if p in cells else 0.0 for p in range(len(pivots))])
     furthest = max(r.z for r in cells.values()) + math.sqrt(norm2) + 1
     one = ints.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    groups = max(1, math.ceil(asked / QUERIES))
-    asked_rows = scratch.written(keyed(one, pivots, norm2, added=False).repartitionByRange(groups, "pivot", "dist", "vec_id").withColumn("grp", F.spark_partition_id()))
-    for g in sorted(r.grp for r in asked_rows.select("grp").distinct().collect()):
+    # numbered in the order of pivot and distance, so that a group's queries lie side by side
+    placed = numbered(keyed(one, pivots, norm2, added=False), ["pivot", "dist", "vec_id"], "at")
+    asked_rows = scratch.written(placed.select("vec_id", "v", F.floor(F.col("at") / QUERIES).alias("grp")))
+    for g in range(math.ceil(asked / QUERIES)):
         mine: pd.DataFrame = asked_rows.filter(F.col("grp") == g).select("vec_id", "v").toPandas()
+        if mine.empty:  # repeated rows are one query, so the groups may be fewer
+            break
         ids, q = mine["vec_id"].to_numpy(np.int64), np.array(mine["v"].tolist(), np.float64)
         to_pivot = _distances(q, np.zeros(len(q)), pivots)
         home = to_pivot.argmin(1)
