@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -14,14 +15,32 @@ from pyspark.sql import functions as F
 from lamina.kernels import codecs, containers
 
 
-def column(f, kind: str = "binary"):
-    """A function of one value as a column function; nulls stay null."""
+#: What is turned into Python values at once: rows, and bytes of a batch's share.
+ROWS, BYTES = 200, 4 << 20
+
+
+def pieces(columns: tuple[pa.Array, ...]) -> Iterator[tuple[pa.Array, ...]]:
+    """The columns a few hundred rows at a time, and fewer where rows are long."""
+    n = len(columns[0])
+    step = max(1, min(ROWS, n * BYTES // max(1, sum(c.nbytes for c in columns))))
+    for k in range(0, n, step):
+        yield tuple(c.slice(k, step) for c in columns)
+
 
-    @F.pandas_udf(kind)
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else f(bytes(v)))
+def by_pieces(f, kind: str):
+    """f (from lists of values to a list) as a column function. A batch of Spark's has up to 10,000 rows; only a piece of it is ever held as Python values, and each piece's results are sent on."""
 
-    return run
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for piece in pieces(batch if isinstance(batch, tuple) else (batch,)):
+                yield pa.array(f(*(c.to_pylist() for c in piece)))
+
+    return F.arrow_udf(run, kind)
+
+
+def column(f, kind: str = "binary"):
+    """A function of one row's values as a column function; where one is null the result is."""
+    return by_pieces(lambda *columns: [None if None in row else f(*row) for row in zip(*columns)], kind)
 
 
 def encode(layer: str, codec: str):
@@ -34,26 +53,17 @@ def decode():
 
 def streams(blob: str) -> Column:
     """stype, codec and ulen of the streams of a container."""
-
-    @F.pandas_udf("array<struct<stype:int,codec:int,ulen:long>>")
-    def run(v: pd.Series) -> pd.Series:
-        return v.map(lambda b: [{"stype": s.stype, "codec": s.codec, "ulen": s.ulen} for s in containers.unbundle(containers.unframe(bytes(b)).payload)])
-
-    return run(blob)
+    found = lambda b: [{"stype": s.stype, "codec": s.codec, "ulen": s.ulen} for s in containers.unbundle(containers.unframe(b).payload)]
+    return column(found, "array<struct<stype:int,codec:int,ulen:long>>")(blob)
 
 
 def huffman_total(kind: str = "long"):
-    return F.pandas_udf(lambda s: s.map(lambda counts: codecs.huffman_bits(list(counts)) if len(counts) else 0), kind)
+    return column(lambda counts: codecs.huffman_bits(counts) if counts else 0, kind)
 
 
 def float_bytes(name: str) -> Column:
     """An array of floats as little-endian bytes."""
-
-    @F.pandas_udf("binary")
-    def run(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
-
-    return run(name)
+    return column(lambda x: np.asarray(x, "<f4").tobytes())(name)
 
 
 def blake2_features(name: str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import columns as C
+from lamina.kernels import arrow, containers
 
 
 def tokens(df: DataFrame, key: str, text: str, pattern: str, names: tuple[str, str] = ("pos", "token")) -> DataFrame:
@@ -83,21 +84,16 @@ def against_base(encoded_lines: DataFrame, base: DataFrame, key: str) -> DataFra
     return with_delta.withColumn("shared_id", F.coalesce(F.col("base_id"), F.col("base_n") + F.col("delta_id")).cast("long"))
 
 
-def vc0(df: DataFrame, key: str, text: str) -> DataFrame:
+def vc0(df: DataFrame, key: str, text: str, more: tuple[str, ...] = ()) -> DataFrame:
     """key, mask, vowels, cons over the text's bytes (Latin-1). mask: V vowel, C other letter, O rest."""
     s = C.latin1(F.col(text))
     vowels = C.without(s, "[^aeiouAEIOU]")
     cons = C.without(s, "[aeiouAEIOU]")
     mask = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"(?s)[^\p{L}]", "\u0001"), "[aeiouAEIOU]", "\u0002"), r"\p{L}", "C")
-    return df.select(key, F.translate(mask, "\u0001\u0002", "OV").alias("mask"), vowels.alias("vowels"), cons.alias("cons"))
-
-
-def unvc0(df: DataFrame, key: str) -> DataFrame:
-    """key, content: the bytes that vc0() took apart. A character's place in its class is a running count of the mask; rows carry one character each."""
-    chars = lambda c: F.posexplode(F.split(c, "")).alias("pos", "c")
-    mask = df.select(key, chars("mask")).filter("c <> ''").withColumn("vowel", F.col("c") == "V")
-    idx = F.row_number().over(Window.partitionBy(key, "vowel").orderBy("pos")) - 1
-    places = mask.withColumn("idx", idx).select(key, "vowel", "idx", "pos")
-    found = df.select(key, F.lit(True).alias("vowel"), chars("vowels")).unionByName(df.select(key, F.lit(False).alias("vowel"), chars("cons"))).withColumnRenamed("pos", "idx")
-    back = places.join(found, [key, "vowel", "idx"]).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "c"))).alias("p"))
-    return back.select(key, F.encode(F.concat_ws("", F.transform("p", lambda x: x["c"])), "ISO-8859-1").alias("content"))
+    return df.select(key, *more, F.translate(mask, "\u0001\u0002", "OV").alias("mask"), vowels.alias("vowels"), cons.alias("cons"))
+
+
+def unvc0(df: DataFrame, key: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """key, content: the bytes that vc0() took apart, put together where each row is."""
+    parts = [F.encode(c, "ISO-8859-1") for c in ("mask", "vowels", "cons")]
+    return df.select(key, *more, arrow.column(containers.unmasked)(*parts).alias("content"))

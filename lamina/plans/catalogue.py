@@ -102,12 +102,10 @@ _VOWEL, _LETTER = "^([46]1|[46]5|[46]9|[46]F|[57]5)$", "^([46][1-9A-F]|[57][0-9A
 
 @query(f"WITH {_HEX} SELECT doc_id, len(b)::BIGINT AS n, len(list_filter(b, lambda x: regexp_matches(x, '{_VOWEL}')))::BIGINT AS n_vowels, len(list_filter(b, lambda x: regexp_matches(x, '{_LETTER}') AND NOT regexp_matches(x, '{_VOWEL}')))::BIGINT AS n_cons, true AS restored FROM h")
 def layer_vc0_counts(spark, d):
-    df = docs(spark, d)
-    parts = layers.vc0(df, "doc_id", "text")
-    back = layers.unvc0(parts, "doc_id").select("doc_id", F.sha2("content", 256).alias("got"))
+    df = docs(spark, d).withColumn("want", F.sha2(F.encode("text", "UTF-8"), 256))
+    back = layers.unvc0(layers.vc0(df, "doc_id", "text", ("want",)), "doc_id", ("want", "mask"))
     count = lambda c: F.length(F.regexp_replace("mask", f"[^{c}]", "")).cast("long")
-    whole = df.select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("want"))
-    return parts.join(back, "doc_id").join(whole, "doc_id").select("doc_id", F.length("mask").cast("long").alias("n"), count("V").alias("n_vowels"), count("C").alias("n_cons"), (F.col("got") == F.col("want")).alias("restored"))
+    return back.select("doc_id", F.length("mask").cast("long").alias("n"), count("V").alias("n_vowels"), count("C").alias("n_cons"), F.sha2("content", 256).eqNullSafe(F.col("want")).alias("restored"))
 
 
 def _vocabulary(df, pattern):

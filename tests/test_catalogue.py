@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 from oracle import compare
+from pyspark.sql import functions as F
 
 from lamina.plans import catalogue
 
@@ -65,3 +66,28 @@ def test_queries_without_sql(spark):
             for k in range(64):
                 votes[k] += n if h >> k & 1 else -n
         assert got[i] == sum(1 << k for k in range(64) if votes[k] >= 0), i
+
+
+def _table(spark, folder, texts):
+    """documents of these texts, as one file."""
+    rows = [(k, t, "en", "web", len(t or "")) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_vc0_shuffles_nothing(spark, tmp_path):
+    """Each document is taken apart and put together in its row; empty and null texts too."""
+    d = _table(spark, tmp_path, ["Ab\u00e9 1\n", "", None, "x" * 1000])
+    df = catalogue.queries()["layer_vc0_counts"](spark, d)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in df.collect()) == [(0, 7, 1, 2, True), (1, 0, 0, 0, True), (2, None, None, None, True), (3, 1000, 0, 1000, True)]
+
+
+def test_columns_take_pieces(spark):
+    """A column function never holds a whole batch of Spark's as Python values."""
+    from lamina.kernels import arrow
+
+    sizes = arrow.by_pieces(lambda c: [len(c)] * len(c), "int")
+    rows = spark.range(3000, numPartitions=1).selectExpr("id", "cast(repeat('x', if(id < 1000, 10, 100000)) as binary) AS content")
+    got = {(r.id < 1000): r.n for r in rows.select("id", sizes("content").alias("n")).groupBy((F.col("id") < 1000).alias("id")).agg(F.max("n").alias("n")).collect()}
+    assert got[True] <= arrow.ROWS and got[False] <= arrow.ROWS and [r.n for r in spark.range(0).select(sizes(F.lit(b"x")).alias("n")).collect()] == []
