@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
-from lamina.kernels import codecs, containers
+from lamina.kernels import arrow, codecs, containers
 from lamina.operators.ordering import largest
 from lamina.operators.relations import plan_scores, remembered, runner_up
 from lamina.specs import TYPES, DirectorySpec, Plan
@@ -58,36 +56,30 @@ def table(spark, spec: DirectorySpec, history: DataFrame | None = None) -> DataF
     return spark.createDataFrame(rows, "bucket_type string, plan string, layer string, codec string, streams map<string,string>, penalty double, ord int")
 
 
-@F.pandas_udf(BinaryType())
-def encoded(content: pd.Series, layer: pd.Series, codec: pd.Series, streams: pd.Series, numbers: pd.Series, templates: pd.Series) -> pd.Series:
-    """Each file by its own plan; numbers and templates are its bucket's shared dictionaries, or null."""
-    out = []
-    for data, one, c, s, n, t in zip(content, layer, codec, streams, numbers, templates):
-        shared = containers.Shared(None if n is None or not len(n) else [int(x) for x in n], codecs.untemplate_resource(bytes(t)) if t is not None else [])
-        out.append(containers.encode(bytes(data), one, c, dict(s) if s is not None else None, shared))
-    return pd.Series(out)
+def _shared(numbers, templates) -> containers.Shared:
+    return containers.Shared(numbers or None, codecs.untemplate_resource(templates) if templates is not None else [])
 
 
-@F.pandas_udf(BinaryType())
-def decoded(blob: pd.Series, numbers: pd.Series, templates: pd.Series) -> pd.Series:
-    out = []
-    for b, n, t in zip(blob, numbers, templates):
-        shared = containers.Shared(None if n is None or not len(n) else [int(x) for x in n], codecs.untemplate_resource(bytes(t)) if t is not None else [])
-        out.append(containers.decode(bytes(b), shared))
-    return pd.Series(out)
+def encoded(*columns):
+    """Each file (content, layer, codec, streams, numbers, templates) by its own plan; numbers and templates are its bucket's shared dictionaries, or null."""
+    return arrow.by_pieces(lambda *c: [containers.encode(data, layer, codec, dict(streams) if streams is not None else None, _shared(n, t)) for data, layer, codec, streams, n, t in zip(*c)], "binary")(*columns)
 
 
-@F.pandas_udf(BinaryType())
-def decoded_or_null(blob: pd.Series, numbers: pd.Series, templates: pd.Series) -> pd.Series:
+def decoded(*columns):
+    """blob, numbers, templates -> content."""
+    return arrow.by_pieces(lambda *c: [containers.decode(blob, _shared(n, t)) for blob, n, t in zip(*c)], "binary")(*columns)
+
+
+def decoded_or_null(*columns):
     """As decoded(), with null for what can't be decoded."""
 
-    def one(b, n, t):
+    def one(blob, n, t):
         try:
-            return containers.decode(bytes(b), containers.Shared(None if n is None or not len(n) else [int(x) for x in n], codecs.untemplate_resource(bytes(t)) if t is not None else []))
+            return containers.decode(blob, _shared(n, t))
         except Exception:  # whatever damaged bytes lead to
             return None
 
-    return pd.Series([one(*x) for x in zip(blob, numbers, templates)])
+    return arrow.by_pieces(lambda *c: [one(*row) for row in zip(*c)], "binary")(*columns)
 
 
 def choose(files: DataFrame, plans: DataFrame, sample_n: int, shared: DataFrame) -> tuple[DataFrame, DataFrame]:

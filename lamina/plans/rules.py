@@ -77,7 +77,7 @@ def smallest_wins(spark, d):
     """The smallest of several encodings of each document: none of them, made apart, is smaller, and it decodes."""
     layers, kinds = ("bytes", "lines_dict"), ("raw", "zlib")
     content = F.encode("text", "UTF-8")
-    sizes = [F.length(arrow.encode(layer, codec)("c")) for layer in layers for codec in kinds]
+    sizes = arrow.column(lambda data: min(len(containers.encode(data, layer, codec)) for layer in layers for codec in kinds), "int")
     best = arrow.column(lambda data: legacy.smallest(data, layers, kinds)[2])("c")
-    rows = docs(spark, d).select("doc_id", content.alias("c")).select("doc_id", "c", F.least(*sizes).alias("size"), best.alias("blob"))
+    rows = docs(spark, d).select("doc_id", content.alias("c")).select("doc_id", "c", sizes("c").alias("size"), best.alias("blob"))
     return rows.select("doc_id", (F.length("blob") == F.col("size")).alias("least"), (arrow.decode()("blob") == F.col("c")).alias("restored"))
