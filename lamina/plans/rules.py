@@ -36,7 +36,7 @@ def tpl_dict_bucket(spark, d):
 @query(rf"""WITH r AS (SELECT octet_length(encode(regexp_replace(regexp_replace(text, '{_SIGN}', '\1\2', 'g'), '[0-9]+', '', 'g')))::BIGINT AS n FROM documents) SELECT {STREAMS["TEXT"]} AS stype, {CODECS["zlib"]} AS code, count(*) AS n, sum(n)::BIGINT AS ulen FROM r UNION ALL SELECT {STREAMS["NUMS"]}, {CODECS["num_v1"]}, count(*), 0 FROM r UNION ALL SELECT {STREAMS["META"]}, {CODECS["raw"]}, count(*), 2 * count(*) FROM r""")
 def stream_routing(spark, d):
     """The streams of encoded documents with the codecs they went to. SQL has no sizes of number streams, which count as 0 here."""
-    coded = docs(spark, d).select(arrow.encode("split_text_nums", "zlib")(F.encode("text", "UTF-8")).alias("blob"))
+    coded = docs(spark, d).select(arrow.encode("split_text_nums", "zlib")(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("blob"))
     found = coded.select(F.explode(arrow.streams("blob")).alias("s")).select("s.*")
     return found.groupBy("stype", F.col("codec").alias("code")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("stype") != STREAMS["NUMS"], F.col("ulen")).otherwise(0)).alias("ulen"))
 

@@ -91,3 +91,16 @@ def test_columns_take_pieces(spark):
     rows = spark.range(3000, numPartitions=1).selectExpr("id", "cast(repeat('x', if(id < 1000, 10, 100000)) as binary) AS content")
     got = {(r.id < 1000): r.n for r in rows.select("id", sizes("content").alias("n")).groupBy((F.col("id") < 1000).alias("id")).agg(F.max("n").alias("n")).collect()}
     assert got[True] <= arrow.ROWS and got[False] <= arrow.ROWS and [r.n for r in spark.range(0).select(sizes(F.lit(b"x")).alias("n")).collect()] == []
+
+
+def test_routing_of_long_numbers(spark, tmp_path):
+    """Numbers of any length leave the text stream, and come back."""
+    from lamina.kernels import containers
+
+    texts = ["a +" + "1" * 19 + " b", "0" * 18 + "7", "x -" + "12345678901234567890" * 5 + "\n=5", "none", ""]
+    d = _table(spark, tmp_path, [*texts, None])
+    got = {r.stype: (r.n, r.ulen) for r in catalogue.queries()["stream_routing"](spark, d).collect()}
+    assert got[containers.STREAMS["TEXT"]] == (6, len("a  b" + "x \n=" + "none"))
+    for layer in ("split_text_nums", "tpl_lines_v0", "tpl_lines_shared_v0"):
+        for t in texts:
+            assert containers.decode(containers.encode(t.encode(), layer, "zlib")) == t.encode()
