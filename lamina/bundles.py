@@ -10,14 +10,12 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from lamina.errors import UsageError
 from lamina.functions import columns as C
-from lamina.kernels import codecs, legacy
+from lamina.kernels import arrow, codecs, legacy
 from lamina.kernels.containers import encode
 from lamina.operators.relations import bundle_offsets
 from lamina.storage import written
@@ -64,22 +62,21 @@ def slices(index: DataFrame, found: DataFrame, group: str, key: str, block: int
     return index.join(whole.unionByName(empty), [group, key], "left")
 
 
-@F.pandas_udf(BinaryType())
-def _encoded(data: pd.Series, layer: pd.Series, codec: pd.Series) -> pd.Series:
-    return pd.Series([encode(bytes(d), a, codecs.resolve(c)) for d, a, c in zip(data, layer, codec)])
+def _encoded(*columns):
+    """data, layer, codec -> containers."""
+    return arrow.column(lambda data, layer, codec: encode(data, layer, codecs.resolve(codec)))(*columns)
 
 
-@F.pandas_udf(BinaryType())
-def decoded_or_null(blobs: pd.Series) -> pd.Series:
-    """What a container of any version holds; null where it can't be read."""
+def _or_null(blob: bytes) -> bytes | None:
+    try:
+        return legacy.read(blob)
+    except Exception:  # whatever damaged bytes lead to
+        return None
 
-    def one(blob):
-        try:
-            return None if blob is None else legacy.read(bytes(blob))
-        except Exception:  # whatever damaged bytes lead to
-            return None
 
-    return blobs.map(one)
+def decoded_or_null(blobs):
+    """What a container of any version holds; null where it can't be read."""
+    return arrow.column(_or_null)(blobs)
 
 
 def pack(spark: SparkSession, files: DataFrame, out: str, mode: str = "mixed", block: int = BLOCK) -> DataFrame:

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,10 +18,10 @@ from lamina.kernels import codecs, containers
 ROWS, BYTES = 200, 4 << 20
 
 
-def pieces(columns: tuple[pa.Array, ...]) -> Iterator[tuple[pa.Array, ...]]:
+def pieces(columns: tuple[pa.Array, ...], size: int = BYTES) -> Iterator[tuple[pa.Array, ...]]:
     """The columns a few hundred rows at a time, and fewer where rows are long."""
     n = len(columns[0])
-    step = max(1, min(ROWS, n * BYTES // max(1, sum(c.nbytes for c in columns))))
+    step = max(1, min(ROWS, n * size // max(1, sum(c.nbytes for c in columns))))
     for k in range(0, n, step):
         yield tuple(c.slice(k, step) for c in columns)
 
@@ -66,14 +65,9 @@ def float_bytes(name: str) -> Column:
     return column(lambda x: np.asarray(x, "<f4").tobytes())(name)
 
 
-def blake2_features(name: str) -> Column:
-    """The first eight bytes of BLAKE2b of each token (binary), as a signed long."""
-
-    @F.pandas_udf("long")
-    def run(tokens: pd.Series) -> pd.Series:
-        return tokens.map(lambda t: int.from_bytes(hashlib.blake2b(bytes(t), digest_size=8).digest(), "big", signed=True))
-
-    return run(name)
+def blake2(token: bytes) -> bytes:
+    """The first eight bytes of BLAKE2b."""
+    return hashlib.blake2b(token, digest_size=8).digest()
 
 
 def concat_hashes(df: DataFrame, group: str, order: str, text: str) -> DataFrame:

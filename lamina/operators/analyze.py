@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions import columns as C
+from lamina.kernels import arrow
 from lamina.operators.ordering import largest
 
 TERM_CAP, TEXT_SHARE, ANALYZE_BYTES, METRIC_FILES, METRIC_BYTES = 20, 0.85, 262_144, 4, 65_536
@@ -21,12 +24,7 @@ def sampled(df: DataFrame, content: str, limit: int = ANALYZE_BYTES) -> DataFram
 
 def histogram(content):
     """256 counters of each binary value, as an array."""
-
-    @F.pandas_udf("array<long>")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else np.bincount(np.frombuffer(v, "u1"), minlength=256).tolist())
-
-    return run(content)
+    return arrow.column(lambda v: np.bincount(np.frombuffer(v, "u1"), minlength=256).tolist(), "array<long>")(content)
 
 
 def bytes_of(df: DataFrame, key: str, content: str) -> DataFrame:
@@ -50,31 +48,6 @@ def features(df: DataFrame, key: str, text: str) -> DataFrame:
     return found.groupBy(key, "token").agg(F.least(F.count("*"), F.lit(TERM_CAP)).alias("weight"))
 
 
-#: Three counters of 21 bits in each long: a fingerprint's weights sum up to less than 2^21, see PREFIX.
-_COUNTER = 21
-
-
-def simhash(weighted: DataFrame, key: str, hashed: str = "h") -> DataFrame:
-    """key, simhash64 as DECIMAL(20,0), of rows with a signed long ``hashed`` and ``weight``: each bit is set where votes are not negative.
-
-    A bit's votes are twice the weight of the hashes that have it less the whole weight. Each key's weights sum up to less than 2^21.
-    """
-    bit = lambda i: F.shiftrightunsigned(hashed, i).bitwiseAND(1)
-    sums = []
-    for i in range(0, 64, 3):
-        some = [F.shiftleft(bit(i + k), _COUNTER * k) for k in range(min(3, 64 - i))]
-        packed = some[0]
-        for x in some[1:]:
-            packed = packed.bitwiseOR(x)
-        sums.append(F.sum(F.col("weight") * packed).alias(f"s{i // 3}"))
-    totals = weighted.groupBy(key).agg(F.sum("weight").alias("w"), *sums)
-    value = F.lit(0).cast("long")
-    for i in range(64):
-        ones = F.shiftrightunsigned(f"s{i // 3}", _COUNTER * (i % 3)).bitwiseAND((1 << _COUNTER) - 1)
-        value = value.bitwiseOR(F.when(2 * ones >= F.col("w"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return totals.select(key, C.unsigned(value).alias("simhash64"))
-
-
 #: What a fingerprint takes at most: bytes of a file, lines of a text without words, bytes of a binary.
 PREFIX, MOST_LINES, BINARY_BYTES = 1_000_000, 5000, 200_000
 #: Fixed value: what separates lines of text, beyond what separates those of bytes.
@@ -88,31 +61,84 @@ def marked(df: DataFrame, key: str, content: str) -> DataFrame:
     their bytes four at a time.
     """
     head = F.substring(content, 1, PREFIX)
-    chars = C.latin1_of(F.substring(content, 1, BINARY_BYTES))
     text = F.lower(F.replace(F.make_valid_utf8(head.cast("string")), F.lit("\ufffd"), F.lit("")))
-    taken = df.select(key, (F.length(content) == 0).alias("none"), is_text(C.latin1_of(head)).alias("is_text"), text.alias("text"), chars.alias("chars"))
+    taken = df.select(key, (F.length(content) == 0).alias("none"), is_text(C.latin1_of(head)).alias("is_text"), text.alias("text"), F.substring(content, 1, BINARY_BYTES).alias("bytes"))
     words = C.matches(F.col("text"), C.FEATURES, 0)
     branch = F.when(F.col("none"), "empty").when(~F.col("is_text"), "bin4").when(F.col("text").rlike(C.FEATURES), "tokens").otherwise("lines")
     rows = taken.withColumn("branch", branch)
     of_lines = F.slice(F.filter(F.split("text", TEXT_LINES, -1), lambda x: x.rlike(r"(?U)[^\s\x1f]")), 1, MOST_LINES)
     utf8 = lambda a: F.transform(a, lambda x: F.encode(x, "UTF-8"))
-    shingles = F.transform(C.matches(F.col("chars"), "(?s)(.{4})"), lambda x: F.encode(x, "ISO-8859-1"))
+    fours = F.floor(F.length("bytes") / 4).cast("int")
+    shingles = F.when(fours > 0, F.transform(F.sequence(F.lit(1), fours), lambda i: F.substring(F.col("bytes"), 4 * i - 3, F.lit(4)))).otherwise(F.array().cast("array<binary>"))
     items = F.when(F.col("branch") == "tokens", utf8(words)).when(F.col("branch") == "lines", utf8(of_lines)).when(F.col("branch") == "bin4", shingles).otherwise(F.array().cast("array<binary>"))
     return rows.select(key, "branch", items.alias("items"))
 
 
-def weighted(found: DataFrame, key: str) -> DataFrame:
-    """key, token (binary), weight of marked() rows: counts, 20 at most for words."""
-    counted = found.select(key, "branch", F.explode("items").alias("token")).groupBy(key, "branch", "token").agg(F.count("*").alias("n"))
-    return counted.select(key, "token", F.when(F.col("branch") == "tokens", F.least("n", F.lit(TERM_CAP))).otherwise(F.col("n")).alias("weight"))
+def _md5(token: bytes) -> bytes:
+    return hashlib.md5(token, usedforsecurity=False).digest()[:8]
+
+
+#: Items are compared so many bytes at a time.
+ITEM_BYTES = 1 << 20
 
 
-def fingerprints(df: DataFrame, key: str, content: str) -> DataFrame:
-    """simhash64 of each file (binary content): 0 of an empty one; one without features has all bits set."""
-    found = marked(df, key, content)
-    hashed = weighted(found, key).withColumn("h", C.hash64(F.col("token")))
-    none = F.when(F.col("branch") == "empty", F.lit("0")).otherwise(F.lit("18446744073709551615")).cast("decimal(20,0)")
-    return found.select(key, "branch").join(simhash(hashed, key), key, "left").select(key, "branch", F.coalesce("simhash64", none).alias("simhash64"))
+def _voted(keys: list, branches: list[str], items: pa.ListArray, digest) -> list[int | None]:
+    """Each key's fingerprint (signed), beside each of its rows: equal keys are neighbours. An empty file's is 0; without features, or a key, all bits are set.
+
+    A bit is set where the weight of the tokens whose hash has it is half of all or more. Equal items of a key and branch are one token.
+    """
+    new = np.array([True, *(a != b for a, b in zip(keys[1:], keys))])
+    key_no = np.cumsum(new) - 1
+    kinds = np.array([branch == "tokens" for branch in branches])
+    tokens = items.flatten().dictionary_encode()
+    votes = [-1] * (int(key_no[-1]) + 1)
+    if n := len(tokens.dictionary):
+        hashes = np.frombuffer(b"".join(map(digest, tokens.dictionary.to_pylist())), np.uint8).reshape(n, 8)
+        bits = np.unpackbits(hashes, axis=1).astype(np.float32)
+        rows = np.repeat(2 * key_no + kinds, np.diff(np.asarray(items.offsets)))
+        found, weight = np.unique(rows * n + tokens.indices.to_numpy(), return_counts=True)
+        group, token = found // n, found % n
+        weight = np.where(group % 2 == 1, np.minimum(weight, TERM_CAP), weight)
+        begins = np.flatnonzero(np.r_[True, group[1:] // 2 != group[:-1] // 2])
+        for a, z in zip(begins.tolist(), [*begins[1:].tolist(), len(group)]):
+            ones = np.zeros(64)
+            for k in range(a, z, 1 << 14):  # sums of less than 2^24 are exact
+                ones += weight[k : min(z, k + (1 << 14))].astype(np.float32) @ bits[token[k : min(z, k + (1 << 14))]]
+            votes[int(group[a]) // 2] = int.from_bytes(np.packbits(2 * ones >= weight[a:z].sum()).tobytes(), "big", signed=True)
+    return [0 if branch == "empty" else -1 if key is None else votes[k] for key, branch, k in zip(keys, branches, key_no.tolist())]
+
+
+def fingerprints(df: DataFrame, key: str, content: str, digest=_md5) -> DataFrame:
+    """key, branch, simhash64 (DECIMAL(20,0)) of each file (binary content). digest: eight bytes for a token.
+
+    The rows of one key come side by side, and their tokens are counted there; no row a token is ever made.
+    """
+    rows = df.select(key, content).repartition(key).sortWithinPartitions(key)
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def out():
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            keys, branches = whole.column(0), whole.column(1)
+            return pa.RecordBatch.from_arrays([keys, branches, pa.array(_voted(keys.to_pylist(), branches.to_pylist(), whole.column(2), digest), pa.int64())], [key, "branch", "h"])
+
+        for batch in batches:
+            for columns in arrow.pieces(tuple(batch.columns), ITEM_BYTES):
+                piece, keys = pa.RecordBatch.from_arrays(list(columns), batch.schema.names), columns[0].to_pylist()
+                last = len(keys) - 1  # where the last key begins: it may go on
+                while last and keys[last - 1] == keys[-1]:
+                    last -= 1
+                held.append(piece.slice(0, last))
+                if last:
+                    yield out()
+                    held = []
+                held.append(piece.slice(last))
+        if held:
+            yield out()
+
+    marks = marked(rows, key, content)
+    return marks.mapInArrow(run, f"`{key}` {dict(marks.dtypes)[key]}, branch string, h long").select(key, "branch", C.unsigned(F.col("h")).alias("simhash64"))
 
 
 def bucket(simhash64, buckets: int):

@@ -6,6 +6,8 @@ partitioned by the file's key, so their size is bounded by one file.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,32 @@ def tokens(df: DataFrame, key: str, text: str, pattern: str, names: tuple[str, s
     return df.select(key, F.posexplode(C.matches(F.col(text), pattern)).alias(*names))
 
 
+def coded(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
+    """key, vocabulary (tokens in the order in which they are first seen) and ids, an array for each text of the key. Keys without a text are left out.
+
+    The texts of a key are numbered in one place, so no row a token is made. The pattern has one group, which is all it matches.
+    """
+
+    def numbered(texts):
+        found = [re.findall(pattern, t) for t in texts]
+        if len(found) == 1:
+            number: dict[str, int] = {}
+            return {"vocabulary": number, "ids": [[number.setdefault(t, len(number)) for t in found[0]]]}
+        first: dict[str, int] = {}
+        for tokens in found:
+            for k, t in enumerate(tokens):
+                first[t] = min(k, first.get(t, k))
+        number = {t: k for k, t in enumerate(sorted(first, key=first.get))}
+        return {"vocabulary": number, "ids": [[number[t] for t in tokens] for tokens in found]}
+
+    def all_numbered(texts):
+        return [{"vocabulary": list(x["vocabulary"]), "ids": x["ids"]} for x in map(numbered, texts)]
+
+    rows = df.filter(F.col(text).isNotNull()).groupBy(key).agg(F.collect_list(text).alias("texts"))
+    made = rows.select(key, arrow.by_pieces(all_numbered, "struct<vocabulary:array<string>,ids:array<array<long>>>")("texts").alias("x"))
+    return made.select(key, "x.vocabulary", "x.ids")
+
+
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """line_no, line (terminator kept). An empty text has no line."""
     return tokens(df, key, text, C.LINES, ("line_no", "line"))
@@ -36,11 +64,9 @@ def encoded(df: DataFrame, key: str, token: str, pos: str) -> DataFrame:
     return rows.withColumn("token_id", (F.dense_rank().over(Window.partitionBy(key).orderBy("_first")) - 1).cast("long")).drop("_first")
 
 
-def decoded(ids: DataFrame, vocabulary: DataFrame, key: str, pos: str, token: str = "token") -> DataFrame:
-    """key, text: ids looked up in the vocabulary and put together in order."""
-    found = ids.join(vocabulary.select(key, "token_id", token), [key, "token_id"])
-    parts = F.sort_array(F.collect_list(F.struct(pos, token)))
-    return found.groupBy(key).agg(F.concat_ws("", F.transform(parts, lambda p: p[token])).alias("text"))
+def looked_up(ids: str, vocabulary: str) -> Column:
+    """The text of an array of ids."""
+    return F.concat_ws("", F.transform(ids, lambda i: F.get(vocabulary, i.cast("int"))))
 
 
 def runs(ids: DataFrame, key: str, pos: str, value: str = "token_id") -> DataFrame:

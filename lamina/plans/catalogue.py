@@ -109,8 +109,10 @@ def layer_vc0_counts(spark, d):
 
 
 def _vocabulary(df, pattern):
-    t = layers.encoded(layers.tokens(df, "doc_id", "text", pattern), "doc_id", "token", "pos")
-    return t.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), (F.max("token_id") + 1).alias("vocab_size"), F.sum(F.col("token_id") * (F.col("pos") + 1)).alias("id_sum"))
+    t = layers.coded(df, "doc_id", "text", pattern).filter("size(vocabulary) > 0")
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    placed = F.transform("ids", lambda text: total(F.transform(text, lambda i, k: i * (k + 1))))
+    return t.select("doc_id", total(F.transform("ids", lambda text: F.size(text).cast("long"))).alias("n_tokens"), F.size("vocabulary").cast("long").alias("vocab_size"), total(placed).alias("id_sum"))
 
 
 _VOCAB = "SELECT doc_id, count(*) AS n_tokens, max(id) + 1 AS vocab_size, sum(id * (pos + 1))::BIGINT AS id_sum FROM t JOIN d USING (doc_id, tok) GROUP BY doc_id"
@@ -128,10 +130,8 @@ def layer_words_vocab(spark, d):
 
 @query("SELECT doc_id, sha256(text) AS sha FROM documents WHERE text <> ''")
 def layer_words_decode(spark, d):
-    t = layers.tokens(docs(spark, d), "doc_id", "text", C.WORDS)
-    vocabulary = layers.dictionary(t, "doc_id", "token", "pos")
-    ids = layers.encoded(t, "doc_id", "token", "pos").select("doc_id", "pos", "token_id")
-    return layers.decoded(ids, vocabulary, "doc_id", "pos").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    texts = layers.coded(docs(spark, d), "doc_id", "text", C.WORDS).select("doc_id", "vocabulary", F.explode("ids").alias("ids")).filter("size(ids) > 0")
+    return texts.select("doc_id", F.sha2(layers.looked_up("ids", "vocabulary").cast("binary"), 256).alias("sha"))
 
 
 @query(f"WITH {_tokens(LINE)}, {_IDS} SELECT doc_id, id::BIGINT AS token_id, sha256(tok) AS line_sha, n FROM d")

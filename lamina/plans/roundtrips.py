@@ -54,10 +54,9 @@ for _name, _write in _old_queries().items():
 
 
 def simhash64_blake2b(spark, d):
-    """Each distinct token is hashed once."""
-    f = analyze.weighted(analyze.marked(docs(spark, d).withColumn("content", F.encode("text", "UTF-8")), "doc_id", "content"), "doc_id")
-    hashed = f.select("token").distinct().select("token", arrow.blake2_features("token").alias("h"))
-    return analyze.simhash(f.join(hashed, "token"), "doc_id").select("doc_id", F.col("simhash64").cast("string").alias("simhash64"))
+    """The same tokens and votes, with another hash."""
+    content = docs(spark, d).select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    return analyze.fingerprints(content, "doc_id", "content", arrow.blake2).select("doc_id", F.col("simhash64").cast("string").alias("simhash64"))
 
 
 def huffman_total_bits(spark, d):

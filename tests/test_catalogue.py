@@ -104,3 +104,37 @@ def test_routing_of_long_numbers(spark, tmp_path):
     for layer in ("split_text_nums", "tpl_lines_v0", "tpl_lines_shared_v0"):
         for t in texts:
             assert containers.decode(containers.encode(t.encode(), layer, "zlib")) == t.encode()
+
+
+def test_fingerprints_make_no_row_a_token(spark, tmp_path):
+    """As SQL has them, for rows of one doc_id side by side too: their tokens are counted together, up to 20 each."""
+    texts = ["ab cd " * 12, "--\n++\n", "", "\u0416" * 50, "ab", "\u00e9" * 3]
+    rows = [(k % 5, t, "en", "web", len(t)) for k, t in enumerate(texts)] + [(0, "ab ef " * 12, "en", "web", 72), (7, "x y", "en", "web", 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = _sql_of(spark, tmp_path, "simhash64_md5")
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+    for name in ("simhash64_md5", "simhash64_blake2b", "byte_shingles", "bucket_assign"):
+        assert "Generate" not in catalogue.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+
+
+def _sql_of(spark, folder, name):
+    """Sorted rows of a query and of its SQL over documents alone."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{folder}/documents.parquet/*.parquet')")
+    df = catalogue.queries()[name](spark, str(folder))
+    names = sorted(df.columns)
+    want = con.execute(f"select {', '.join(names)} from ({SQL[name]})").fetchall()
+    return sorted(tuple(r) for r in df.select(*names).collect()), sorted(want)
+
+
+def test_vocabularies_make_no_row_a_token(spark, tmp_path):
+    """Repeated rows count together, as in SQL."""
+    texts = ["a b, a c", "", "a b, a c", "Straße 12 ü"]
+    rows = [(k % 2 * k, t, "en", "web", len(t)) for k, t in enumerate(texts)]
+    spark.createDataFrame([*rows, (9, None, "en", "web", 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("layer_words_vocab", "layer_syllables_vocab", "layer_words_decode"):
+        got, want = _sql_of(spark, tmp_path, name)
+        assert got == want, name
+        assert "Window" not in catalogue.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
