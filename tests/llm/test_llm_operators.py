@@ -708,3 +708,10 @@ def test_stages_take_any_columns_and_rows(spark, stages):
             assert len(got) == len(rows) and "Hunter2xyzabcd" not in "".join(r.text or "" for r in got)
     packed = stages["packing"](spark, df, D)
     assert packed.agg(F.countDistinct(F.struct("doc_id", "doc_tokens"))).first()[0] > 40 and packed.filter("start = 0").count() == len(rows)
+
+
+def test_op7_renders_whole_prefixes(spark, monkeypatch):
+    """The query declares nothing about its template: no window is asked for."""
+    asked, real = [], chat.formatted
+    monkeypatch.setattr(chat, "formatted", lambda *a, **k: asked.append(k.get("looks_back")) or real(*a, **k))
+    assert queries.op7_chat(spark, D).count() and asked == [None]
