@@ -55,7 +55,7 @@ TEXT_LINES = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def marked(df: DataFrame, key: str, content: str) -> DataFrame:
-    """key, branch (empty, tokens, lines, bin4) and items (array<binary>): what the fingerprint of each file takes.
+    """key, branch (empty, tokens, lines, bin4) and items (array<binary>): what the fingerprint of each file takes; of bin4 in one piece, which is cut up later.
 
     Texts give lower-case words of two characters or more, or else, without any, their lines that aren't blank; other files give
     their bytes four at a time.
@@ -68,9 +68,7 @@ def marked(df: DataFrame, key: str, content: str) -> DataFrame:
     rows = taken.withColumn("branch", branch)
     of_lines = F.slice(F.filter(F.split("text", TEXT_LINES, -1), lambda x: x.rlike(r"(?U)[^\s\x1f]")), 1, MOST_LINES)
     utf8 = lambda a: F.transform(a, lambda x: F.encode(x, "UTF-8"))
-    fours = F.floor(F.length("bytes") / 4).cast("int")
-    shingles = F.when(fours > 0, F.transform(F.sequence(F.lit(1), fours), lambda i: F.substring(F.col("bytes"), 4 * i - 3, F.lit(4)))).otherwise(F.array().cast("array<binary>"))
-    items = F.when(F.col("branch") == "tokens", utf8(words)).when(F.col("branch") == "lines", utf8(of_lines)).when(F.col("branch") == "bin4", shingles).otherwise(F.array().cast("array<binary>"))
+    items = F.when(F.col("branch") == "tokens", utf8(words)).when(F.col("branch") == "lines", utf8(of_lines)).when(F.col("branch") == "bin4", F.array("bytes")).otherwise(F.array().cast("array<binary>"))
     return rows.select(key, "branch", items.alias("items"))
 
 
@@ -90,13 +88,20 @@ def _voted(keys: list, branches: list[str], items: pa.ListArray, digest) -> list
     new = np.array([True, *(a != b for a, b in zip(keys[1:], keys))])
     key_no = np.cumsum(new) - 1
     kinds = np.array([branch == "tokens" for branch in branches])
-    tokens = items.flatten().dictionary_encode()
+    groups, binary = 2 * key_no + kinds, np.array([branch == "bin4" for branch in branches])
+    tokens = items.filter(pa.array(~binary)).flatten().dictionary_encode()
+    rows = np.repeat(groups[~binary], [len(x) if x.is_valid else 0 for x in items.filter(pa.array(~binary))])
+    fours = [np.frombuffer(data, "<u4", len(data) // 4) for (data,) in items.filter(pa.array(binary)).to_pylist()]
+    four, of = np.unique(np.concatenate([np.zeros(0, "<u4"), *fours]), return_inverse=True)
+    words, four = tokens.dictionary.to_pylist(), four.tobytes()
+    words += [four[k : k + 4] for k in range(0, len(four), 4)]
+    rows = np.concatenate([rows, np.repeat(groups[binary], [len(x) for x in fours])]).astype(np.int64)
+    index = np.concatenate([tokens.indices.to_numpy(), of + len(tokens.dictionary)]).astype(np.int64)
     votes = [-1] * (int(key_no[-1]) + 1)
-    if n := len(tokens.dictionary):
-        hashes = np.frombuffer(b"".join(map(digest, tokens.dictionary.to_pylist())), np.uint8).reshape(n, 8)
+    if n := len(words):
+        hashes = np.frombuffer(b"".join(map(digest, words)), np.uint8).reshape(n, 8)
         bits = np.unpackbits(hashes, axis=1).astype(np.float32)
-        rows = np.repeat(2 * key_no + kinds, np.diff(np.asarray(items.offsets)))
-        found, weight = np.unique(rows * n + tokens.indices.to_numpy(), return_counts=True)
+        found, weight = np.unique(rows * n + index, return_counts=True)
         group, token = found // n, found % n
         weight = np.where(group % 2 == 1, np.minimum(weight, TERM_CAP), weight)
         begins = np.flatnonzero(np.r_[True, group[1:] // 2 != group[:-1] // 2])
