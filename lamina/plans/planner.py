@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,8 +58,12 @@ def table(spark, spec: DirectorySpec, history: DataFrame | None = None) -> DataF
     return spark.createDataFrame(rows, "bucket_type string, plan string, layer string, codec string, streams map<string,string>, penalty double, ord int")
 
 
+#: A bucket's templates are taken apart once, not for each of its files.
+_templates = lru_cache(maxsize=64)(codecs.untemplate_resource)
+
+
 def _shared(numbers, templates) -> containers.Shared:
-    return containers.Shared(numbers or None, codecs.untemplate_resource(templates) if templates is not None else [])
+    return containers.Shared(numbers or None, _templates(templates) if templates is not None else [])
 
 
 def encoded(*columns):

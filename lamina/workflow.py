@@ -83,7 +83,8 @@ def pack(spark: SparkSession, files: DataFrame, out: str, spec: DirectorySpec |
     trials.write.mode("overwrite").json(f"{out}/trials")
     shared = written(plan.join(shared, "bucket").withColumn("templates", F.when(F.col("layer") == "tpl_lines_shared_v0", F.col("templates"))))
     parts = placed.groupBy("bucket").agg(F.ceil((F.sum("size") + 1) / ARCHIVE_BYTES).cast("int").alias("parts"))
-    rows = placed.drop("bucket_type").join(shared, "bucket").join(parts, "bucket")
+    # a row a bucket: files stay where they are, so that a bucket of much data is coded in many tasks
+    rows = placed.drop("bucket_type").join(F.broadcast(shared), "bucket").join(F.broadcast(parts), "bucket")
     archive = F.format_string("bucket-%05d-%05d", "bucket", F.pmod(F.xxhash64("rel"), F.col("parts")))
     coded = rows.withColumn("blob", planner.encoded("content", "layer", "codec", "streams", "numbers", "templates"))
     coded = written(coded.select(archive.alias("archive"), "rel", "bucket", "bucket_type", "layer", "codec", "plan", F.col("size").alias("in_size"), F.sha2("content", 256).alias("in_sha256"), "blob"))
@@ -136,21 +137,21 @@ def _folder(spark: SparkSession, out: str) -> str:
     return f"{out}/{'archives' if head['archive'] else 'loose'}/{head['run']}"
 
 
-def _stored(spark: SparkSession, out: str) -> DataFrame:
-    """rel, blob, numbers, templates of all files of the last run, in archives or loose."""
+def _stored(spark: SparkSession, out: str, known: DataFrame) -> DataFrame:
+    """known (rel and other columns) with blob, numbers, templates of those files of the last run, in archives or loose. Dictionaries come last: they don't travel with each file."""
     folder = _folder(spark, out)
     if not header(spark, out)["archive"]:
         rel = F.regexp_replace("rel", f"{LOOSE.replace('.', chr(92) + '.')}$", "")
-        return tree(spark, folder).select(rel.alias("rel"), F.col("content").alias("blob"), F.lit(None).cast("array<long>").alias("numbers"), F.lit(None).cast("binary").alias("templates"))
+        return tree(spark, folder).select(rel.alias("rel"), F.col("content").alias("blob"), F.lit(None).cast("array<long>").alias("numbers"), F.lit(None).cast("binary").alias("templates")).join(known, "rel")
     rows = archives(spark, folder)
     res = rows.filter("kind = 'resource'").groupBy("archive").agg(F.max(F.when(F.col("res_name") == "numbers", F.from_json(F.decode("blob", "UTF-8"), "array<long>"))).alias("numbers"), F.max(F.when(F.col("res_name") == "templates", F.col("blob"))).alias("templates"))
-    return rows.filter("kind is null").join(res, "archive", "left").select("rel", "blob", "numbers", "templates")
+    return rows.filter("kind is null").select("archive", "rel", "blob").join(known, "rel").join(F.broadcast(res), "archive", "left").drop("archive")
 
 
 def unpack(spark: SparkSession, out: str) -> DataFrame:
     """rel, content, in_sha256 of all files. Empty ones come from the manifest alone."""
     known = file_records(manifest(spark, out)).select("rel", "in_size", "in_sha256")
-    some = _stored(spark, out).join(known.filter("in_size > 0"), "rel")
+    some = _stored(spark, out, known.filter("in_size > 0"))
     files = some.select("rel", planner.decoded("blob", "numbers", "templates").alias("content"), "in_sha256")
     return files.unionByName(known.filter("in_size = 0").select("rel", F.lit(b"").alias("content"), "in_sha256"))
 
@@ -178,7 +179,7 @@ def verify(spark: SparkSession, out: str, full: bool = False) -> DataFrame:
     if full:
         if packed:
             found = found.unionByName(violations(archives(spark, folder)).select("rel", "violation"))
-        stored = _stored(spark, out).join(files.filter("in_size > 0").select("rel", "in_sha256"), "rel")
+        stored = _stored(spark, out, files.filter("in_size > 0").select("rel", "in_sha256"))
         content = planner.decoded_or_null("blob", "numbers", "templates")
         wrong = stored.select("rel", "in_sha256", content.alias("content")).filter("content is null or sha2(content, 256) <> in_sha256").select("rel", F.lit("hash_mismatch").alias("violation"))
         found = found.unionByName(wrong).distinct()

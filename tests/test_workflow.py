@@ -254,3 +254,24 @@ def test_import_direction():
                 text = open(f"{d}/{n}").read()
                 assert "lamina.llm" not in text, n
                 assert not (d.endswith("kernels") and n != "arrow.py" and "pyspark" in text), n
+
+
+def test_files_are_not_dealt_by_bucket(spark, tmp_path, monkeypatch):
+    """Coding and decoding don't gather a bucket's files: no shuffle by bucket or archive is left when files meet their dictionaries."""
+    from pyspark.sql import functions as F
+
+    from lamina import workflow
+
+    seen, real = [], workflow.written
+    monkeypatch.setattr(workflow, "written", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that Spark takes to be large
+    try:
+        files = spark.range(40).select(F.concat(F.lit("f/"), F.col("id").cast("string")).alias("rel"), F.encode(F.expr("repeat(concat('line ', id, '\n'), 20)"), "UTF-8").alias("content"))
+        workflow.pack(spark, files, f"file://{tmp_path}/out")
+        plan = workflow.unpack(spark, f"file://{tmp_path}/out")
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        coded = seen[-1]
+        assert "SortMergeJoin [bucket" not in coded and "SortMergeJoin [archive" not in text
+        assert plan.filter("sha2(content, 256) = in_sha256").count() == 40
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
