@@ -374,6 +374,25 @@ def test_recall_among_variants(planted):
     assert planted["variants"] >= 0.95 and planted["parts"] >= 0.95, planted
 
 
+def test_pairs_with_many_variants_between(spark):
+    """A passage in two documents, and 60 variants of it (similarity 0.66) in documents between, of which some share as much context on every side: none is lost."""
+    rng = random.Random(21)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts, want = [], {}
+    for _ in range(8):
+        p = fresh(100)
+        texts.append(fresh(40) + p + fresh(40))
+        for _ in range(60):
+            v = list(p)
+            for k in (12, 36, 60, 84):
+                v[k + rng.randrange(8)] = fresh(1)[0]
+            texts.append(v)
+        want[len(texts)] = len(texts) - 61
+        texts.append(fresh(50) + p + fresh(30))
+    got = {(r.doc_id, r.first_doc_id, r.start, r.end) for r in passages.repeats(docs(spark, [" ".join(t) for t in texts])).collect()}
+    assert {(k, first, 50, 150) for k, first in want.items()} <= got
+
+
 def test_chains_past_runs_at_other_shifts():
     """300 words alike but for one word in 60, and between them four five-word runs at other alignments each."""
     rng = np.random.default_rng(1)
