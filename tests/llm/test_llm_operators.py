@@ -393,6 +393,15 @@ def test_pairs_with_many_variants_between(spark):
     assert {(k, first, 50, 150) for k, first in want.items()} <= got
 
 
+def test_links_of_all_near_copies(spark):
+    """Twelve texts, each with another word changed (similarity 0.84): each of the 66 pairs is linked."""
+    p, texts = [f"w{k}" for k in range(120)], []
+    for k in range(12):
+        texts.append(" ".join([*p[: 8 + 9 * k], f"v{k}", *p[9 + 9 * k :]]))
+    got = {(r.doc_id, r.first_doc_id) for r in passages.repeats(docs(spark, texts)).collect()}
+    assert got == {(a, b) for a in range(12) for b in range(a)}
+
+
 def test_chains_past_runs_at_other_shifts():
     """300 words alike but for one word in 60, and between them four five-word runs at other alignments each."""
     rng = np.random.default_rng(1)
