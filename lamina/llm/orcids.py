@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import Scratch, list_array, own_columns, texts_of
+from lamina.llm.common import Scratch, own_columns
 from lamina.llm.prefix import with_base
 from lamina.llm.wordbpe import encoder
 
@@ -34,15 +34,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, partition
     ordered = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "tie", "row").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "row").select("doc_id", "text")
 
     def encode(batches):
-        part, before, encode_all, end = TaskContext.get().partitionId(), 0, encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        part, before, encode = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                batch = whole.slice(k, 500)
-                ids = [np.frombuffer(x + end, "<i4") for x in encode_all(texts_of(batch))]
-                n = np.array([len(x) for x in ids], np.int64)
-                starts = before + np.cumsum(n) - n
-                before += int(n.sum())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.full(len(n), part, np.int32)), pa.array(starts), pa.array(n), list_array(ids, pa.int32())], ["doc_id", "part", "before", "n_tokens", "ids"])
+            for batch, ids, ends in encode.batches(whole, end_id):
+                starts = np.r_[0, ends[:-1]]
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids.view("<i4")))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.full(len(ends), part, np.int32)), pa.array(before + starts), pa.array(ends - starts), lists], ["doc_id", "part", "before", "n_tokens", "ids"])
+                before += int(ends[-1])
 
     options = {"compression": "zstd", "orc.stripe.size": str(stripe_bytes), "orc.create.index": "true", "orc.row.index.stride": str(stride), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": str(bloom_fpp)}
     ordered.mapInArrow(encode, SCHEMA).write.options(**options).orc(path)

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import Scratch, own_columns, texts_of
+from lamina.llm.common import Scratch, own_columns
 from lamina.llm.prefix import with_base
 from lamina.llm.wordbpe import encoder
 
@@ -29,15 +29,13 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """part, before (ids of this part's earlier documents), doc_id, n, ids (binary, little-endian unsigned 32-bit)."""
 
     def encode(batches):
-        part, before, encode_all, end = TaskContext.get().partitionId(), 0, encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        part, before, encode = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                batch = whole.slice(k, 500)
-                ids = [x + end for x in encode_all(texts_of(batch))]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                starts = before + np.cumsum(n) - n
-                before += int(n.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(starts), batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(ids, pa.binary())], ["part", "before", "doc_id", "n", "ids"])
+            for batch, ids, ends in encode.batches(whole, end_id):
+                starts = np.r_[0, ends[:-1]]
+                binary = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer((4 * np.r_[0, ends]).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ends), part, np.int32)), pa.array(before + starts), batch.column("doc_id").cast(pa.int64()), pa.array(ends - starts), binary], ["part", "before", "doc_id", "n", "ids"])
+                before += int(ends[-1])
 
     return own_columns(docs, "doc_id", "text").mapInArrow(encode, "part int, before long, doc_id long, n long, ids binary")
 

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from oracle import compare
@@ -42,6 +43,18 @@ def test_word_pieces_equal_the_library():
         assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_words_of_a_batch_are_encoded_together():
+    encode, t = PieceEncoder(WORDS, limit=20), Tokenizer.from_file(WORDS)
+    texts = [None, "Élan VITAL, élan", "", *ODD, "a\u00d7b \u00c3\u0178 x's <|endoftext|>", "word " * 500_000, None]
+    batch = pa.record_batch({"text": pa.array(["before", *texts])}).slice(1)
+    got, sizes = [], []
+    for part, ids, ends in encode.batches(batch, 2):
+        got += [ids[a:z].tolist() for a, z in zip([0, *ends.tolist()], ends.tolist())]
+        sizes.append(part.num_rows)
+    assert len(sizes) > 1 and sum(sizes) == len(texts)
+    assert got == [t.encode(x or "", add_special_tokens=False).ids + [2] for x in texts]
+
+
 def test_bpe_equals_the_library(spark):
     t = Tokenizer.from_file(BYTES)
     codec = bpe.BytePairCodec(BYTES, limit=10)
