@@ -18,11 +18,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import Scratch, own_columns
+from lamina.llm.common import Scratch, own_columns, resident
 from lamina.llm.prefix import with_base
 from lamina.llm.wordbpe import encoder
 
 SEQUENCE = 2048
+#: Documents that are cut at once.
+ROWS = 500
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -46,19 +48,26 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = SEQUE
     placed = with_base(scratch.written(encoded(docs, tokenizer, end_id)), "n")
 
     def cut(batches):
-        for batch in batches:
-            rows = []
-            for doc, first, ids in zip(batch.column("doc_id").to_pylist(), (np.asarray(batch.column("base")) + np.asarray(batch.column("before"))).tolist(), batch.column("ids").to_pylist()):
-                n, at = len(ids) // 4, 0
-                while at < n:
-                    sequence, offset = divmod(first + at, length)
-                    take = min(n - at, length - offset)
-                    piece = ids[4 * at : 4 * (at + take)]
-                    rows.append((doc, at, take, zlib.crc32(piece), n, sequence, offset, *([piece] if keep_ids else [])))
-                    at += take
-            for k in range(0, len(rows), 20_000):
-                columns = list(zip(*rows[k : k + 20_000]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:7]] + [pa.array(c, pa.binary()) for c in columns[7:]], names)
+        resident("cut", dict)  # this worker's word caches go: a run encodes once
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(k, ROWS)
+                n, first = np.asarray(batch.column("n")), np.asarray(batch.column("base")) + np.asarray(batch.column("before"))
+                # a document has a piece in each sequence from its first id's to its last one's
+                held = np.where(n > 0, (first + n - 1) // length - first // length + 1, 0)
+                row = np.repeat(np.arange(len(n)), held)
+                sequence = (first // length)[row] + np.arange(len(row)) - np.repeat(np.cumsum(held) - held, held)
+                begin, end = np.maximum(first[row], sequence * length), np.minimum((first + n)[row], (sequence + 1) * length)
+                start, take = begin - first[row], end - begin
+                ids = batch.column("ids")
+                offsets = np.frombuffer(ids.buffers()[1], np.int32, ids.offset + len(ids) + 1)[ids.offset :].astype(np.int64)
+                a, data = offsets[row] + 4 * start, memoryview(ids.buffers()[2] or b"")
+                spans = list(zip(a.tolist(), (a + 4 * take).tolist()))
+                crc = [zlib.crc32(data[i:j]) for i, j in spans]
+                for at in range(0, len(row), 20_000):
+                    now = slice(at, at + 20_000)
+                    columns = [batch.column("doc_id").take(pa.array(row[now])), *(pa.array(c[now], pa.int64()) for c in (start, take, crc, n[row], sequence, begin - sequence * length))]
+                    yield pa.RecordBatch.from_arrays(columns + ([pa.array([bytes(data[i:j]) for i, j in spans[now]], pa.binary())] if keep_ids else []), names)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * keep_ids
     return scratch.keep(placed.mapInArrow(cut, ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in names)))

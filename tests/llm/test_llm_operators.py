@@ -55,6 +55,16 @@ def test_words_of_a_batch_are_encoded_together():
     assert got == [t.encode(x or "", add_special_tokens=False).ids + [2] for x in texts]
 
 
+def test_pieces_of_many_documents(spark):
+    """More documents than are cut at once, of none to several sequences each."""
+    texts = ["a b " * (k % 7) if k % 600 else "a b " * 3000 for k in range(packing.ROWS * 3)]
+    got = packing.pieces(docs(spark, texts).coalesce(1), WORDS, keep_ids=True).toPandas().sort_values(["sequence_id", "offset"])
+    at = got["sequence_id"] * packing.SEQUENCE + got["offset"]
+    assert at.tolist() == [0, *np.cumsum(got["length"])[:-1]] and set(got["doc_id"]) == set(range(len(texts)))
+    assert all(zlib.crc32(ids) == crc and len(ids) == 4 * n for ids, crc, n in zip(got["ids"], got["ids_crc32"], got["length"]))
+    assert (got.groupby("doc_id")["length"].sum() == got.groupby("doc_id")["doc_tokens"].first()).all()
+
+
 def test_bpe_equals_the_library(spark):
     t = Tokenizer.from_file(BYTES)
     codec = bpe.BytePairCodec(BYTES, limit=10)
