@@ -14,6 +14,7 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -82,10 +83,13 @@ class BytePairCodec:
         return [s for s in symbol if s >= 0]
 
     def _chunk(self, chunk: str) -> bytes:
+        if (chunk[1:] if chunk[0] == " " else chunk).isalpha():
+            return self.words[chunk]  # one word by the pattern, which needn't be asked
         return b"".join(map(self.words.__getitem__, self.word.findall(chunk)))
 
     def _word(self, word: str) -> bytes:
-        return np.array(self.merge(word.encode()), "<u4").tobytes()
+        ids = self.merge(word.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _plain(self, text: str) -> bytes:
         self.known.renew()

@@ -65,6 +65,16 @@ def test_pieces_of_many_documents(spark):
     assert (got.groupby("doc_id")["length"].sum() == got.groupby("doc_id")["doc_tokens"].first()).all()
 
 
+def test_plain_words_skip_the_pattern():
+    """Chunks of letters are one word each, which took the pattern's time before; all letters of Python's are letters of the pattern's."""
+    codec, other = bpe.BytePairCodec(BYTES), bpe.BytePairCodec(BYTES)
+    codec.word = None
+    text = "Plain words über alle élève слова"
+    assert codec.encode(text).tolist() == other.encode(text + ".").tolist()[:-1]
+    letters = "".join(chr(c) for c in range(0x110000) if chr(c).isalpha())
+    assert other.word.findall(letters) == [letters]
+
+
 def test_bpe_equals_the_library(spark):
     t = Tokenizer.from_file(BYTES)
     codec = bpe.BytePairCodec(BYTES, limit=10)
