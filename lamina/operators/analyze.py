@@ -39,7 +39,7 @@ def entropy(histogram: DataFrame, key: str) -> DataFrame:
 
 
 def is_text(chars):
-    return C.printable_ratio(F.substring(chars, 1, 1_000_000)) >= TEXT_SHARE
+    return C.printable_ratio(chars) >= TEXT_SHARE
 
 
 def features(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -48,25 +48,27 @@ def features(df: DataFrame, key: str, text: str) -> DataFrame:
     return found.groupBy(key, "token").agg(F.least(F.count("*"), F.lit(TERM_CAP)).alias("weight"))
 
 
-#: What a fingerprint takes at most: bytes of a file, lines of a text without words, bytes of a binary.
-PREFIX, MOST_LINES, BINARY_BYTES = 1_000_000, 5000, 200_000
+#: Fixed values of the queries whose SQL has them: bytes by which a text is told, lines of a text without words, bytes of a binary. All others take whole files.
+BOUNDS = 1_000_000, 5000, 200_000
 #: Fixed value: what separates lines of text, beyond what separates those of bytes.
 TEXT_LINES = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
-def marked(df: DataFrame, key: str, content: str) -> DataFrame:
+def marked(df: DataFrame, key: str, content: str, bounds: tuple[int, int, int] | None = None) -> DataFrame:
     """key, branch (empty, tokens, lines, bin4) and items (array<binary>): what the fingerprint of each file takes; of bin4 in one piece, which is cut up later.
 
     Texts give lower-case words of two characters or more, or else, without any, their lines that aren't blank; other files give
-    their bytes four at a time.
+    their bytes four at a time. All of a file is taken, but for bounds (see BOUNDS); words are always those of the whole text.
     """
-    head = F.substring(content, 1, PREFIX)
-    text = F.lower(F.replace(F.make_valid_utf8(head.cast("string")), F.lit("\ufffd"), F.lit("")))
-    taken = df.select(key, (F.length(content) == 0).alias("none"), is_text(C.latin1_of(head)).alias("is_text"), text.alias("text"), F.substring(content, 1, BINARY_BYTES).alias("bytes"))
+    head, most, binary = bounds or (None, None, None)
+    first = lambda n: F.col(content) if n is None else F.substring(content, 1, n)
+    text = F.lower(F.replace(F.make_valid_utf8(F.col(content).cast("string")), F.lit("\ufffd"), F.lit("")))
+    taken = df.select(key, (F.length(content) == 0).alias("none"), is_text(C.latin1_of(first(head))).alias("is_text"), text.alias("text"), first(binary).alias("bytes"))
     words = C.matches(F.col("text"), C.FEATURES, 0)
     branch = F.when(F.col("none"), "empty").when(~F.col("is_text"), "bin4").when(F.col("text").rlike(C.FEATURES), "tokens").otherwise("lines")
     rows = taken.withColumn("branch", branch)
-    of_lines = F.slice(F.filter(F.split("text", TEXT_LINES, -1), lambda x: x.rlike(r"(?U)[^\s\x1f]")), 1, MOST_LINES)
+    of_lines = F.filter(F.split("text", TEXT_LINES, -1), lambda x: x.rlike(r"(?U)[^\s\x1f]"))
+    of_lines = of_lines if most is None else F.slice(of_lines, 1, most)
     utf8 = lambda a: F.transform(a, lambda x: F.encode(x, "UTF-8"))
     items = F.when(F.col("branch") == "tokens", utf8(words)).when(F.col("branch") == "lines", utf8(of_lines)).when(F.col("branch") == "bin4", F.array("bytes")).otherwise(F.array().cast("array<binary>"))
     return rows.select(key, "branch", items.alias("items"))
@@ -76,8 +78,8 @@ def _md5(token: bytes) -> bytes:
     return hashlib.md5(token, usedforsecurity=False).digest()[:8]
 
 
-#: Items are compared so many bytes at a time.
-ITEM_BYTES = 1 << 20
+#: Items are compared so many bytes at a time, and hashed so many at a time.
+ITEM_BYTES, AT_ONCE = 1 << 20, 1 << 14
 
 
 def _voted(keys: list, branches: list[str], items: pa.ListArray, digest) -> list[int | None]:
@@ -93,28 +95,31 @@ def _voted(keys: list, branches: list[str], items: pa.ListArray, digest) -> list
     rows = np.repeat(groups[~binary], [len(x) if x.is_valid else 0 for x in items.filter(pa.array(~binary))])
     fours = [np.frombuffer(data, "<u4", len(data) // 4) for (data,) in items.filter(pa.array(binary)).to_pylist()]
     four, of = np.unique(np.concatenate([np.zeros(0, "<u4"), *fours]), return_inverse=True)
-    words, four = tokens.dictionary.to_pylist(), four.tobytes()
-    words += [four[k : k + 4] for k in range(0, len(four), 4)]
+    words, m = tokens.dictionary, len(tokens.dictionary)
     rows = np.concatenate([rows, np.repeat(groups[binary], [len(x) for x in fours])]).astype(np.int64)
-    index = np.concatenate([tokens.indices.to_numpy(), of + len(tokens.dictionary)]).astype(np.int64)
+    index = np.concatenate([tokens.indices.to_numpy(), of + m]).astype(np.int64)
     votes = [-1] * (int(key_no[-1]) + 1)
-    if n := len(words):
-        hashes = np.frombuffer(b"".join(map(digest, words)), np.uint8).reshape(n, 8)
-        bits = np.unpackbits(hashes, axis=1).astype(np.float32)
+    if n := m + len(four):
+        hashes = np.empty((n, 8), np.uint8)
+        for k in range(0, n, AT_ONCE):  # only so many are ever values or bits at once
+            data = four[max(0, k - m) : max(0, k + AT_ONCE - m)].tobytes()
+            some = words[k : k + AT_ONCE].to_pylist() + [data[i : i + 4] for i in range(0, len(data), 4)]
+            hashes[k : k + AT_ONCE] = np.frombuffer(b"".join(map(digest, some)), np.uint8).reshape(len(some), 8)
         found, weight = np.unique(rows * n + index, return_counts=True)
         group, token = found // n, found % n
         weight = np.where(group % 2 == 1, np.minimum(weight, TERM_CAP), weight)
         begins = np.flatnonzero(np.r_[True, group[1:] // 2 != group[:-1] // 2])
         for a, z in zip(begins.tolist(), [*begins[1:].tolist(), len(group)]):
             ones = np.zeros(64)
-            for k in range(a, z, 1 << 14):  # sums of less than 2^24 are exact
-                ones += weight[k : min(z, k + (1 << 14))].astype(np.float32) @ bits[token[k : min(z, k + (1 << 14))]]
+            for k in range(a, z, AT_ONCE):
+                some = slice(k, min(z, k + AT_ONCE))
+                ones += weight[some].astype(np.float64) @ np.unpackbits(hashes[token[some]], axis=1)
             votes[int(group[a]) // 2] = int.from_bytes(np.packbits(2 * ones >= weight[a:z].sum()).tobytes(), "big", signed=True)
     return [0 if branch == "empty" else -1 if key is None else votes[k] for key, branch, k in zip(keys, branches, key_no.tolist())]
 
 
-def fingerprints(df: DataFrame, key: str, content: str, digest=_md5) -> DataFrame:
-    """key, branch, simhash64 (DECIMAL(20,0)) of each file (binary content). digest: eight bytes for a token.
+def fingerprints(df: DataFrame, key: str, content: str, digest=_md5, bounds: tuple[int, int, int] | None = None) -> DataFrame:
+    """key, branch, simhash64 (DECIMAL(20,0)) of each file (binary content). digest: eight bytes for a token. bounds: see marked().
 
     The rows of one key come side by side, and their tokens are counted there; no row a token is ever made.
     """
@@ -142,7 +147,7 @@ def fingerprints(df: DataFrame, key: str, content: str, digest=_md5) -> DataFram
         if held:
             yield out()
 
-    marks = marked(rows, key, content)
+    marks = marked(rows, key, content, bounds)
     return marks.mapInArrow(run, f"`{key}` {dict(marks.dtypes)[key]}, branch string, h long").select(key, "branch", C.unsigned(F.col("h")).alias("simhash64"))
 
 

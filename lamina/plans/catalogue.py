@@ -322,27 +322,29 @@ def capped_tf(spark, d):
 _LINES = "regexp_split_to_array(t, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]')"
 
 
-def _fingerprints(source: str) -> str:
-    """source: SQL of doc_id, t (text, or null for bytes that are none) and hx (the bytes in hex)."""
-    return f"""src AS ({source}), p AS (SELECT doc_id, t, left(hx, 400000) AS hx, regexp_extract_all(left(hx, 2000000), '..') AS b FROM src),
+def _fingerprints(source: str, whole: bool = False) -> str:
+    """source: SQL of doc_id, t (text, or null for bytes that are none) and hx (the bytes in hex). whole: without analyze.BOUNDS."""
+    binary, head, most = ("hx", "hx", "") if whole else ("left(hx, 400000)", "left(hx, 2000000)", "[1:5000]")
+    return f"""src AS ({source}), p AS (SELECT doc_id, t, {binary} AS hx, regexp_extract_all({head}, '..') AS b FROM src),
  k AS (SELECT doc_id, t, hx, CASE WHEN len(b) = 0 THEN 'empty' WHEN len(list_filter(b, lambda x: x IN ('09', '0A', '0D') OR x BETWEEN '20' AND '7E')) / len(b) < 0.85 THEN 'bin4' WHEN regexp_matches(lower(t), '[A-Za-z0-9_]{{2,}}') THEN 'tokens' ELSE 'lines' END AS branch FROM p),
  i AS (SELECT doc_id, branch, unnest(list_transform(regexp_extract_all(lower(t), '[A-Za-z0-9_]{{2,}}'), lambda x: md5(x))) AS m FROM k WHERE branch = 'tokens'
-  UNION ALL SELECT doc_id, branch, unnest(list_transform(list_filter({_LINES.replace("(t,", "(lower(t),")}, lambda x: regexp_matches(x, '[^\\s\\x0b\\x1f]'))[1:5000], lambda x: md5(x))) FROM k WHERE branch = 'lines'
+  UNION ALL SELECT doc_id, branch, unnest(list_transform(list_filter({_LINES.replace("(t,", "(lower(t),")}, lambda x: regexp_matches(x, '[^\\s\\x0b\\x1f]')){most}, lambda x: md5(x))) FROM k WHERE branch = 'lines'
   UNION ALL SELECT doc_id, branch, unnest(list_transform(regexp_extract_all(hx, '.{{8}}'), lambda x: md5(unhex(x)))) FROM k WHERE branch = 'bin4'),
  n AS (SELECT doc_id, CASE WHEN branch = 'tokens' THEN least(count(*), 20) ELSE count(*) END AS w, ('0x' || left(m, 16))::UBIGINT AS h FROM i GROUP BY doc_id, branch, m),
  v AS (SELECT doc_id, bit, sum(CASE WHEN (h >> bit) & 1 = 1 THEN w ELSE -w END) AS v FROM n, (SELECT unnest(range(64))::UBIGINT AS bit) GROUP BY 1, 2),
  s AS (SELECT k.doc_id, branch, CASE WHEN branch = 'empty' THEN 0::HUGEINT ELSE coalesce(x, 18446744073709551615::HUGEINT) END AS sim FROM k LEFT JOIN (SELECT doc_id, sum(CASE WHEN v >= 0 THEN (1::UBIGINT << bit)::HUGEINT ELSE 0 END)::HUGEINT AS x FROM v GROUP BY 1) USING (doc_id))"""
 
 
-_SIM = _fingerprints("SELECT doc_id, text AS t, hex(encode(text)) AS hx FROM documents")
+_TEXTS = "SELECT doc_id, text AS t, hex(encode(text)) AS hx FROM documents"
+_SIM = _fingerprints(_TEXTS)
 
 
 @query(f"WITH {_SIM} SELECT doc_id, sim::VARCHAR AS simhash64 FROM s")
 def simhash64_md5(spark, d):
-    return analyze.fingerprints(_content(spark, d), "doc_id", "content").select("doc_id", F.col("simhash64").cast("string").alias("simhash64"))
+    return analyze.fingerprints(_content(spark, d), "doc_id", "content", bounds=analyze.BOUNDS).select("doc_id", F.col("simhash64").cast("string").alias("simhash64"))
 
 
-@query(f"WITH {_SIM} SELECT doc_id, (sim % 16)::INT AS bucket FROM s")
+@query(f"WITH {_fingerprints(_TEXTS, whole=True)} SELECT doc_id, (sim % 16)::INT AS bucket FROM s")
 def bucket_assign(spark, d):
     return analyze.fingerprints(_content(spark, d), "doc_id", "content").select("doc_id", analyze.bucket(F.col("simhash64"), 16).alias("bucket"))
 
@@ -352,14 +354,14 @@ def line_features(spark, d):
     """Fingerprints of texts without words, which are by lines, and of empty ones."""
     bare = F.concat(F.regexp_replace("text", r"[^\r\n]", "-"), F.lit("\n"), F.expr("repeat('+', int(doc_id % 7))"))
     made = docs(spark, d).select("doc_id", F.encode(F.when(F.col("doc_id") % 10 == 0, "").otherwise(bare), "UTF-8").alias("content"))
-    return analyze.fingerprints(made, "doc_id", "content").withColumn("simhash64", F.col("simhash64").cast("string"))
+    return analyze.fingerprints(made, "doc_id", "content", bounds=analyze.BOUNDS).withColumn("simhash64", F.col("simhash64").cast("string"))
 
 
 @query("WITH " + _fingerprints("SELECT doc_id, NULL::VARCHAR AS t, translate(hex(encode(text)), '0123456789ABCDEF', 'FEDCBA9876543210') AS hx FROM documents") + " SELECT doc_id, branch, sim::VARCHAR AS simhash64 FROM s")
 def byte_shingles(spark, d):
     """Fingerprints of binaries, made of the documents by turning over all bits: four bytes at a time."""
     turned = F.unhex(F.translate(F.hex(F.encode("text", "UTF-8")), "0123456789ABCDEF", "FEDCBA9876543210"))
-    return analyze.fingerprints(docs(spark, d).select("doc_id", turned.alias("content")), "doc_id", "content").withColumn("simhash64", F.col("simhash64").cast("string"))
+    return analyze.fingerprints(docs(spark, d).select("doc_id", turned.alias("content")), "doc_id", "content", bounds=analyze.BOUNDS).withColumn("simhash64", F.col("simhash64").cast("string"))
 
 
 # bundles and archives

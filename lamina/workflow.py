@@ -31,7 +31,7 @@ def _bucket(rule, simhash64, buckets: int):
 def analyzed(files: DataFrame, buckets: int, rule=None) -> DataFrame:
     """files: rel, content. Adds size, simhash64, is_text, bucket (see _bucket()) and bucket_type. Fingerprints are of the first 256 KiB."""
     heads = analyze.sampled(files.select("rel", "content"), "content").select("rel", "size", "prefix")
-    marks = analyze.fingerprints(heads, "rel", "prefix")
+    marks = analyze.fingerprints(heads, "rel", "prefix", bounds=analyze.BOUNDS)
     placed = files.select("rel", "content").join(heads.select("rel", "size", analyze.is_text(C.latin1_of(F.col("prefix"))).alias("is_text")), "rel").join(marks.select("rel", "simhash64"), "rel").withColumn("bucket", _bucket(rule, F.col("simhash64"), buckets))
     metrics = analyze.bucket_metrics(placed, "bucket", "rel", "content").select("bucket", analyze.bucket_type().alias("bucket_type"))
     return placed.join(metrics, "bucket", "left").withColumn("bucket_type", F.coalesce("bucket_type", F.lit("textish")))

@@ -117,6 +117,42 @@ def test_fingerprints_make_no_row_a_token(spark, tmp_path):
         assert "Generate" not in catalogue.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
 
 
+def _long_texts():
+    """Texts whose beginning says little: words after a million bytes, lines after 5,000, bytes after a million of text, and after 200,000."""
+    return ["aa " * 333_400 + " ".join(f"w{k}" for k in range(300)), "--\n" * 5000 + "".join(f"{'+-' * (k % 7)}{'=' * k}\n" for k in range(300)), "aa " * 333_400 + "\u00e9" * 200_000 + "\u0416" * 100_000, "\u00e9" * 100_000 + "\u0416\u00e9\u0449" * 30_000]
+
+
+def _whole_fingerprint(data):
+    printable = {9, 10, 13, *range(32, 127)}
+    if sum(b in printable for b in data) < 0.85 * len(data):
+        items = Counter(data[k : k + 4] for k in range(0, len(data) - 3, 4))
+    elif words := re.findall(b"[a-z0-9_]{2,}", data):
+        items = {w: min(n, 20) for w, n in Counter(words).items()}
+    else:
+        items = Counter(x for x in data.split(b"\n") if x)
+    votes = [0] * 64
+    for token, n in items.items():
+        h = int.from_bytes(hashlib.md5(token).digest()[:8], "big")
+        for k in range(64):
+            votes[k] += n if h >> k & 1 else -n
+    return sum(1 << k for k in range(64) if votes[k] >= 0)
+
+
+def test_buckets_take_whole_texts(spark, tmp_path):
+    """bucket_assign by all words, lines and bytes; queries whose SQL is bounded keep to it, and is_text_flag's isn't."""
+    texts = _long_texts()
+    want = {k: _whole_fingerprint(t.encode()) for k, t in enumerate(texts)}
+    rows = [(k, t, "en", "web", len(t)) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got, sql = _sql_of(spark, tmp_path, "bucket_assign")
+    assert got == sql and {i: b for b, i in got} == {i: f % 16 for i, f in want.items()}
+    blake = catalogue.queries()["simhash64_blake2b"](spark, str(tmp_path))
+    assert blake.select("simhash64").distinct().count() == len(texts)
+    for name in ("simhash64_md5", "line_features", "is_text_flag"):
+        got, sql = _sql_of(spark, tmp_path, name)
+        assert got == sql, name
+
+
 def _sql_of(spark, folder, name):
     """Sorted rows of a query and of its SQL over documents alone."""
     import duckdb
