@@ -357,11 +357,11 @@ def line_features(spark, d):
     return analyze.fingerprints(made, "doc_id", "content", bounds=analyze.BOUNDS).withColumn("simhash64", F.col("simhash64").cast("string"))
 
 
-@query("WITH " + _fingerprints("SELECT doc_id, NULL::VARCHAR AS t, translate(hex(encode(text)), '0123456789ABCDEF', 'FEDCBA9876543210') AS hx FROM documents") + " SELECT doc_id, branch, sim::VARCHAR AS simhash64 FROM s")
+@query("WITH " + _fingerprints("SELECT doc_id, NULL::VARCHAR AS t, translate(hex(encode(text)), '0123456789ABCDEF', 'FEDCBA9876543210') AS hx FROM documents", whole=True) + " SELECT doc_id, branch, sim::VARCHAR AS simhash64 FROM s")
 def byte_shingles(spark, d):
     """Fingerprints of binaries, made of the documents by turning over all bits: four bytes at a time."""
     turned = F.unhex(F.translate(F.hex(F.encode("text", "UTF-8")), "0123456789ABCDEF", "FEDCBA9876543210"))
-    return analyze.fingerprints(docs(spark, d).select("doc_id", turned.alias("content")), "doc_id", "content", bounds=analyze.BOUNDS).withColumn("simhash64", F.col("simhash64").cast("string"))
+    return analyze.fingerprints(docs(spark, d).select("doc_id", turned.alias("content")), "doc_id", "content").withColumn("simhash64", F.col("simhash64").cast("string"))
 
 
 # bundles and archives

@@ -153,6 +153,16 @@ def test_buckets_take_whole_texts(spark, tmp_path):
         assert got == sql, name
 
 
+def test_byte_shingles_take_whole_texts(spark, tmp_path):
+    """All bytes, four at a time, of binaries beyond 200,000 and beyond a million."""
+    texts = _long_texts()[:3]  # the last one turned over is text
+    rows = [(k, t, "en", "web", len(t)) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got, sql = _sql_of(spark, tmp_path, "byte_shingles")
+    turned = {k: bytes(255 - b for b in t.encode()) for k, t in enumerate(texts)}
+    assert got == sql and {i: (branch, int(f)) for branch, i, f in got} == {i: ("bin4", _whole_fingerprint(t)) for i, t in turned.items()}
+
+
 def _sql_of(spark, folder, name):
     """Sorted rows of a query and of its SQL over documents alone."""
     import duckdb
