@@ -435,6 +435,46 @@ def test_links_of_all_near_copies(spark):
     assert got == {(a, b) for a in range(12) for b in range(a)}
 
 
+def test_pairs_of_near_copies_are_not_written(spark, monkeypatch):
+    """150 texts, each with another word changed: all 11,175 pairs are linked, in several blocks, and no table that is written on the way has a row a pair."""
+    write, sizes = passages.Scratch.written, []
+
+    def counted(self, df):
+        out = write(self, df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(passages.Scratch, "written", counted)
+    monkeypatch.setattr(passages, "BLOCK", 40)
+    p = [f"w{k}" for k in range(120)]
+    texts = [" ".join([*p[: 5 + k % 110], f"v{k}", *p[6 + k % 110 :]]) for k in range(150)]
+    got = {(r.doc_id, r.first_doc_id) for r in passages.repeats(docs(spark, texts)).collect()}
+    assert got == {(a, b) for a in range(150) for b in range(a)}
+    assert max(sizes) < 11_175 // 2, sizes
+
+
+def test_anchors_of_cells(monkeypatch):
+    """Pairs of texts are the same in parts, however small, and by blocks; texts of one doc_id aren't paired."""
+    rng = np.random.default_rng(5)
+    p, words = rng.integers(1, 1 << 60, 200).astype(np.uint64), []
+    for _ in range(30):
+        w = np.concatenate([p[: rng.integers(60, 200)], rng.integers(1, 1 << 60, 50).astype(np.uint64), p[rng.integers(0, 140) :]])
+        words.append(w)
+    ids, none = np.sort(rng.integers(0, 20, 30)), [[] for _ in range(30)]
+
+    def pairs(block, some=range(30)):
+        some = list(some)
+        return {(some[x], some[y], tuple(a.tolist()), tuple(b.tolist())) for x, y, a, b in passages._anchors(ids[some], block[some], [words[k] for k in some], [none[k] for k in some])}
+
+    whole = pairs(np.zeros(30, int))
+    assert {x[:2] for x in whole} == {(x, y) for x in range(30) for y in range(30) if ids[y] < ids[x]}
+    block = ids % 2
+    parts = [pairs(block, np.flatnonzero(block == k)) for k in (0, 1)] + [pairs(block)]
+    assert set().union(*parts) == whole and sum(map(len, parts)) == len(whole)
+    monkeypatch.setattr(passages, "AT_ONCE", 7)
+    assert pairs(np.zeros(30, int)) == whole
+
+
 def test_chains_past_runs_at_other_shifts():
     """300 words alike but for one word in 60, and between them four five-word runs at other alignments each."""
     rng = np.random.default_rng(1)
